@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from passagework.llm.quality_crf import quality_score, train_quality
+from passagework.llm.sampling import fold
 from passagework.llm.sharding import shard_documents
+from passagework.llm.toxicity_mil import toxicity, train_toxicity
 from passagework.llm.url_filter import UrlRule, filter_urls
 from passagework.sources.tables import read_table
 
@@ -19,6 +23,14 @@ URL_RULES = (
     ("block", "org/es/"),
 )
 N_SHARDS = 16
+#: Labelled documents of this fold are never learned from.
+N_FOLDS, HELD_OUT = 5, 0
+#: A document is good, or toxic, from this score on.
+GOOD_FROM, TOXIC_FROM = 0.3, 0.5
+
+
+def _held_out(n_folds: int, held_out: int) -> Column:
+    return F.coalesce(fold(F.col("doc_id"), n_folds) == held_out, F.lit(False)).alias("held_out")
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +57,24 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 """
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = train_quality(docs, labels, held_out=HELD_OUT, n_folds=N_FOLDS)
+    scored = docs.select("doc_id", _held_out(N_FOLDS, HELD_OUT), quality_score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= GOOD_FROM).cast("int"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, and where its offending sentences are."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = train_toxicity(docs, labels, held_out=HELD_OUT, n_folds=N_FOLDS)
+    scored = docs.select("doc_id", _held_out(N_FOLDS, HELD_OUT), toxicity(model, F.col("text"), TOXIC_FROM).alias("found"))
+    return scored.select(
+        "doc_id", "held_out", F.col("found.score").alias("score"), (F.col("found.score") >= TOXIC_FROM).cast("int").alias("predicted"), F.col("found.spans").alias("spans")
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS)
@@ -52,6 +82,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
 }
 
