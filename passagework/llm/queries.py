@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.language_id import predict_language, train_language_id
+from passagework.llm.packing import pack_documents
+from passagework.llm.piece_codec import decode_pieces, encode_pieces
 from passagework.llm.quality_crf import quality_score, train_quality
 from passagework.llm.sampling import fold
 from passagework.llm.sharding import shard_documents
@@ -27,6 +31,11 @@ N_SHARDS = 16
 N_FOLDS, HELD_OUT = 5, 0
 #: A document is good, or toxic, from this score on.
 GOOD_FROM, TOXIC_FROM = 0.3, 0.5
+#: Folds of the language query.
+LANG_FOLDS, LANG_HELD_OUT = 4, 2
+#: Vocabulary files of public tokenizers, installed on every machine.
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _held_out(n_folds: int, held_out: int) -> Column:
@@ -80,11 +89,39 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return pack_documents(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_language_id(docs, n_folds=LANG_FOLDS, held_out=LANG_HELD_OUT)
+    found = docs.select("doc_id", _held_out(LANG_FOLDS, LANG_HELD_OUT), predict_language(model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded into pieces and decoded again, as digests."""
+    docs = read_table(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", encode_pieces(PIECE_MODEL, F.col("text")).alias("ids"))
+    decoded = encoded.withColumn("decoded", decode_pieces(PIECE_MODEL, F.col("ids")))
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
+    "op10_pieces": op10_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {
