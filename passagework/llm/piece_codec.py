@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,10 +54,11 @@ class PieceEncoder:
         for piece, i in self.ids.items():
             if len(piece) == 1:
                 self._single[ord(piece)] = i
-        # place of each piece in score order; rows take the leftmost of equal places, so scores must differ
-        order = sorted(self.ids, key=lambda p: (self.cost[p], self.ids[p]))
-        longer = [self.cost[p] for p in order if len(p) > 1]
-        self._rows = len(set(longer)) == len(longer) and lib.get_piece_size() < 1 << 20
+        # place of each piece in score order; pieces of equal scores, here runs of space marks, are left to merge()
+        often = Counter(self.cost[p] for p in self.ids if len(p) > 1)
+        tied = {p for p in self.ids if len(p) > 1 and often[self.cost[p]] > 1}
+        order = sorted(self.ids.keys() - tied, key=self.cost.__getitem__)
+        self._rows = all(p.strip(SPACE) == "" for p in tied) and lib.get_piece_size() < 1 << 20
         self._by_place = np.array([self.ids[p] for p in order], np.int32)
         pairs = sorted((self.ids[p[:k]] << 20 | self.ids[p[k:]], place) for place, p in enumerate(order) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
         self._pairs, self._places = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32), strict=True))
@@ -130,7 +132,8 @@ class PieceEncoder:
             return {}
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         single = self._single[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)]
-        short = (np.minimum.reduceat(single, np.cumsum(sizes) - sizes) >= 0) & (sizes <= ROW_LENGTH) & self._rows
+        spaced = np.fromiter((c.startswith(SPACE * 2) for c in new), bool, len(new))
+        short = ~spaced & (np.minimum.reduceat(single, np.cumsum(sizes) - sizes) >= 0) & (sizes <= ROW_LENGTH) & self._rows
         got: list[bytes] = [b""] * len(new)
         if short.any():
             flat, counts = self.merge_rows(single[np.repeat(short, sizes)], sizes[short])

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.embedding_dups import embedding_duplicates
 from passagework.llm.language_id import predict_language, train_language_id
+from passagework.llm.near_duplicates import near_duplicates
 from passagework.llm.packing import pack_documents
 from passagework.llm.piece_codec import decode_pieces, encode_pieces
 from passagework.llm.quality_crf import quality_score, train_quality
@@ -89,6 +91,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose sets of four-word shingles are alike to 80 percent."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(read_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
@@ -102,6 +109,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all embeddings of one label with cosines of 0.98 and more."""
+    return embedding_duplicates(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into pieces and decoded again, as digests."""
     docs = read_table(spark, sf_dir, "documents")
@@ -119,8 +131,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
+    "op9_embeddings": op9_embeddings,
     "op10_pieces": op10_pieces,
 }
 
