@@ -7,11 +7,41 @@ returns is written as Parquet and read back as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from passagework.llm.near_duplicates import near_duplicates
+from passagework.llm.packing import pack_documents
+from passagework.llm.quality_crf import quality_score, train_quality
+from passagework.llm.queries import GOOD_FROM, HELD_OUT, N_FOLDS, TOXIC_FROM, WORD_TOKENIZER
+from passagework.llm.toxicity_mil import toxicity, train_toxicity
 from passagework.sources.scratch import save_scratch
 from passagework.sources.tables import read_table
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier does not reject."""
+    model = train_quality(docs, read_table(spark, sf_dir, "labels"), held_out=HELD_OUT, n_folds=N_FOLDS)
+    return docs.where(quality_score(model, F.col("text")) >= GOOD_FROM)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    model = train_toxicity(docs, read_table(spark, sf_dir, "labels"), held_out=HELD_OUT, n_folds=N_FOLDS)
+    return docs.where(toxicity(model, F.col("text"), TOXIC_FROM)["score"] < TOXIC_FROM)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; five-word shingles, similarity 0.8."""
+    copies = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of what is left, each with its sequence and offset."""
+    return pack_documents(docs, WORD_TOKENIZER)
+
+
+STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("packing", packed)]
 
 #: The classifiers and the packer can't be written in SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL: str | None = None

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.embedding_dups import embedding_duplicates
+from passagework.llm.image_copies import image_copies, media_from_embeddings
 from passagework.llm.language_id import predict_language, train_language_id
 from passagework.llm.near_duplicates import near_duplicates
 from passagework.llm.packing import pack_documents
@@ -91,6 +92,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS)
 
 
+def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of copies among images drawn from all embeddings, with crops and edits of every tenth."""
+    return image_copies(media_from_embeddings(read_table(spark, sf_dir, "embeddings")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all documents whose sets of four-word shingles are alike to 80 percent."""
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_image_copies": op5_image_copies,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_packing": op7_packing,
     "op8_language_id": op8_language_id,
