@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,20 @@ from passagework.sources.scratch import save_scratch
 MAX_ROUNDS = 40
 
 
+def spanning_roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node reachable from each node over the given edges."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _join_minimum(rows: DataFrame, minima: DataFrame, node: str) -> DataFrame:
     """Rows with the minimum of their node.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.components import connected_components
+from passagework.llm.components import connected_components, spanning_roots
 from passagework.sources.scratch import save_scratch
 
 #: Vectors that the quantiser is fitted on at most; every vector is indexed.
@@ -107,20 +107,6 @@ class ProductQuantiser:
         return np.maximum(total, 0)
 
 
-def spanning_roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Smallest node reachable from each node over the given edges."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, label, dim, vector, digest`` of rows that can be linked: doubles as bytes, and a digest of label and vector.
 

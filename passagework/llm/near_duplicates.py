@@ -10,11 +10,13 @@ confirmed on the full sets.
 Groups of thousands of copies never become all their pairs:
 
 1. Documents with equal sets are one class from the start.
-2. In every bucket of a band all classes are compared with one of them only,
-   and each class keeps its most similar partner.  The confirmed links are
-   joined into components.
-3. Only classes of one bucket that are still in different components are
-   compared with each other, in blocks of bounded size, by their sketches.
+2. In each bucket of a band the sketches of all classes are compared.  Small
+   buckets do so in a join; large ones are cut into blocks, and each pair of
+   blocks is one task that returns a spanning forest of its candidates.
+   Components of these candidates are families.
+3. The full sets of a family meet, again block against block.  A task compares
+   the classes that are not yet linked, most similar first, and returns at most
+   one link for each two components that it joins.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.components import connected_components
+from passagework.llm.components import connected_components, spanning_roots
 from passagework.sources.scratch import save_scratch
 
 #: A pair of similarity 0.8 agrees in no band with a chance of 3 in a million.
@@ -38,8 +41,14 @@ SKETCH_WORDS = 4
 SKETCH_BITS = 64 * SKETCH_WORDS
 #: Candidates stay if their estimate is at most so many standard deviations of the samples below the similarity.
 SLACK = 5.0
-#: Members of a bucket that are compared with each other in one block.
-BLOCK = 256
+#: Buckets of up to so many members are joined with themselves; larger ones go block against block.
+SMALL_BUCKET = 16
+#: Members of a block of a bucket, and of a family with its full sets.
+BUCKET_BLOCK, FAMILY_BLOCK = 1024, 256
+#: Small families that are confirmed together hold about so many members.
+FAMILY_BATCH = 1000
+#: Ids of up to so many candidates (8 MB) are sent to the scan of the texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 MEMO_WORDS = 400_000
 
 _rng = np.random.default_rng(20240229)
@@ -150,17 +159,17 @@ _SKETCH = tuple(f"s{i}" for i in range(SKETCH_WORDS))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, shingles``: the full set of each row of ``doc_id, text``, as sorted hashes."""
+    """``doc_id, shingles``: the full set of each row of ``doc_id, text``, as the bytes of its sorted hashes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
-                values = [shingle_hashes(t, words).view(np.int64) for t in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                values = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(values)], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(sets, f"doc_id {kind}, shingles array<long>")
+    return docs.mapInArrow(sets, f"doc_id {kind}, shingles binary")
 
 
 def _differing_bits(left: str, right: str) -> Column:
@@ -170,21 +179,117 @@ def _differing_bits(left: str, right: str) -> Column:
     return total
 
 
-def _sizes_allow(left: str, right: str, percent: int) -> Column:
-    """Whether sets of these sizes can have the similarity at all."""
-    a, b = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def candidate_matrix(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether rows ``a`` and ``b`` may have the similarity by their sizes and sketches, and their differing bits."""
+    sketch, n = np.ascontiguousarray(rows[list(_SKETCH)].to_numpy(np.int64)).view(np.uint64), rows["n_shingles"].to_numpy()
+    bits = np.zeros((len(a), len(b)), np.int16)
+    for k in range(SKETCH_WORDS):
+        bits += np.bitwise_count(sketch[a, None, k] ^ sketch[None, b, k])
+    low, high = np.minimum(n[a, None], n[None, b]), np.maximum(n[a, None], n[None, b])
+    return (bits <= most_differing_bits(percent / 100)) & (100 * low >= percent * high), bits
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the pairs ``a, b`` whose full sets have the similarity, as a written table."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = save_scratch(shingle_sets(docs.join(ids, "doc_id", "left_semi"), words), "near-sets")
-    one = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    two = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    linked = 100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)
-    return save_scratch(pairs.select("a", "b").join(one, "b").join(two, "a").where(linked).select("a", "b"), "near-links")
+def _sides(rows: pd.DataFrame, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks of a task; one block stands on both sides of its own task."""
+    block = rows["block"].to_numpy()
+    return np.flatnonzero(block == i), np.flatnonzero(block == j)
+
+
+def candidate_forest(members: DataFrame, percent: int) -> DataFrame:
+    """Edges ``a, b`` that connect all pairs of a bucket that may have the similarity, with few edges per member."""
+    kind = dict(members.dtypes)["doc_id"]
+    buckets = members.select("doc_id", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    columns = ["doc_id", "n_shingles", *_SKETCH]
+    held = save_scratch(buckets.join(shared, "key").join(members.drop("bands"), "doc_id").select("key", "n", *columns), "near-buckets")
+    few, many = held.where(F.col("n") <= SMALL_BUCKET), held.where(F.col("n") > SMALL_BUCKET)
+    near = _differing_bits("x", "y") <= most_differing_bits(percent / 100)
+    low, high = F.least("x.n_shingles", "y.n_shingles"), F.greatest("x.n_shingles", "y.n_shingles")
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (100 * low >= percent * high) & near
+    pairs = few.alias("x").join(few.alias("y"), same).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+    def forest(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id", ignore_index=True)
+        a, b = _sides(rows, *key[1:])
+        x, y = np.nonzero(candidate_matrix(rows, a, b, percent)[0])
+        root = spanning_roots(a[x], b[y], len(rows))
+        linked = np.flatnonzero(root != np.arange(len(rows)))
+        ids = rows["doc_id"].to_numpy()
+        return pd.DataFrame({"a": ids[root[linked]], "b": ids[linked]})
+
+    dealt = _block_pairs(many.withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int")))
+    blocks = dealt.groupBy("key", "i", "j").applyInPandas(forest, f"a {kind}, b {kind}")
+    return pairs.unionByName(blocks).distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """Rows in each pair of blocks ``i <= j`` that they take part in; ``blocks`` is the number of a group's blocks."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", own).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with")).drop("_with", "blocks")
+
+
+def confirmed_links(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of row numbers that link rows ``a`` with rows ``b`` on their full sets, one for each join of components.
+
+    The candidates of a row that it is not connected with yet are compared in order of their sketches, in
+    growing runs; a pair that is connected by then needs no comparison.
+    """
+    may, bits = candidate_matrix(rows, a, b, percent)
+    sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
+    root, out = np.arange(len(rows)), []
+    for x, row in enumerate(a):
+        may[x] &= b != row
+        run = 4
+        while len(left := np.flatnonzero(may[x] & (root[b] != root[row]))):
+            tried = left[np.argsort(bits[x, left], kind="stable")[:run]]
+            may[x, tried] = False
+            run *= 2
+            own, others = sets[row], [sets[b[y]] for y in tried]
+            sizes = np.array([len(o) for o in others])
+            flat = np.concatenate(others)
+            held = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(held, np.cumsum(sizes) - sizes, dtype=np.int64)
+            for y in tried[100 * both >= percent * (len(own) + sizes - both)]:
+                if root[b[y]] != root[row]:
+                    out.append((row, b[y]))
+                    root[root == root[b[y]]] = root[row]
+    return out
+
+
+def family_links(families: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``a, b`` on the full sets, enough to connect all linked members of each family of ``node, component``."""
+    kind = dict(members.dtypes)["doc_id"]
+    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    count = families.count()
+    of = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
+    of = save_scratch(of.join(members.drop("bands"), "doc_id"), "near-families")
+    ids = of.select("doc_id")
+    wanted = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    full = of.join(shingle_sets(wanted, words), "doc_id")
+    small, batches = F.col("n") <= FAMILY_BLOCK, max(1, count // FAMILY_BATCH)
+    # small families share a task; a large one is cut into blocks, and each pair of blocks is a task
+    together = full.where(small).withColumn("batch", F.pmod(F.xxhash64("family"), F.lit(batches)))
+    apart = _block_pairs(full.where(~small).withColumn("blocks", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")))
+
+    def links(rows: pd.DataFrame, found: list[tuple[int, int]]) -> pd.DataFrame:
+        ids = rows["doc_id"].to_numpy()
+        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, columns=["a", "b"])
+
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, family in rows.groupby("family", sort=False):
+            family = family.sort_values("doc_id", ignore_index=True)
+            every = np.arange(len(family))
+            out.append(links(family, confirmed_links(family, every, every, percent)))
+        return pd.concat(out)
+
+    def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id", ignore_index=True)
+        return links(rows, confirmed_links(rows, *_sides(rows, *key[1:]), percent))
+
+    schema = f"a {kind}, b {kind}"
+    return together.groupBy("batch").applyInPandas(batch, schema).unionByName(apart.groupBy("family", "i", "j").applyInPandas(blocks, schema))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,58 +306,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         raise ValueError("percent must be 80 to 100 and words positive")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketches = save_scratch(shingle_sketches(docs, words), "near-sketches")
-    most = most_differing_bits(percent / 100)
-    # 1. classes of equal sets
     classes = save_scratch(sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class")), "near-classes")
-    members = save_scratch(
-        sketches.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi").drop("digest").dropDuplicates(["doc_id", "bands"]), "near-members"
-    )
-    narrow = members.drop("bands")
-    buckets = members.select("doc_id", F.explode("bands").alias("key"))
-    # 2. every member of a bucket against its smallest one; each keeps the most similar partner
-    pivots = buckets.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "pivot")
-    star = buckets.join(pivots, "key").where("doc_id <> pivot").select(F.col("pivot").alias("p"), F.col("doc_id").alias("d")).distinct()
-    near = (
-        star.join(narrow.alias("x"), F.col("p") == F.col("x.doc_id")).join(narrow.alias("y"), F.col("d") == F.col("y.doc_id"))
-        .where(_sizes_allow("x", "y", percent)).select("p", "d", _differing_bits("x", "y").alias("bits")).where(F.col("bits") <= most)
-    )
-    best = save_scratch(near.groupBy("d").agg(F.min(F.struct("bits", "p")).alias("best")).select(F.col("best.p").alias("a"), F.col("d").alias("b")), "near-pairs")
-    components = save_scratch(connected_components(_confirmed(best, docs, words, percent)), "near-components")
-    # 3. members of one bucket that are still apart, block against block
-    rest = save_scratch(_pairs_apart(members, components, percent, most).join(best, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        links = _confirmed(rest, docs, words, percent)
-        of_a, of_b = (components.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        raised = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        higher = connected_components(raised).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        lower = components.unionByName(higher.select(F.col("component").alias("node"), "component").join(components.select("node"), "node", "left_anti"))
-        components = save_scratch(lower.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "near-components")
+    first = sketches.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    members = save_scratch(first.drop("digest"), "near-members")
+    families = save_scratch(connected_components(candidate_forest(members, percent)), "near-candidates")
+    components = save_scratch(connected_components(family_links(families, members, docs, words, percent)), "near-components")
     known = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     found = known.join(components.withColumnRenamed("node", "class"), "class", "left")
     component = F.coalesce("component", "class", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
-
-
-def _pairs_apart(members: DataFrame, components: DataFrame, percent: int, most: int) -> DataFrame:
-    """Distinct pairs ``a, b`` that share a bucket, are in different components, and may have the similarity.
-
-    A bucket whose members are all in one component is done.  The others are cut into blocks by hash, and
-    each pair of blocks is joined on its own key, so no task holds a whole large bucket.
-    """
-    placed = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = save_scratch(placed.select("doc_id", "component", "n_shingles", *_SKETCH, "bands"), "near-placed")
-    buckets = placed.select("doc_id", "component", F.explode("bands").alias("key"))
-    mixed = (
-        buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-        .where("low <> high").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    held = buckets.select("doc_id", "key").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    held = save_scratch(held.join(placed.drop("bands"), "doc_id"), "near-mixed")
-    left = held.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).select("key", F.col("block").alias("i"), F.col("other").alias("j"), "doc_id", "component", "n_shingles", *_SKETCH)
-    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), "block"))).select("key", F.col("other").alias("i"), F.col("block").alias("j"), "doc_id", "component", "n_shingles", *_SKETCH)
-    x, y = left.alias("x"), right.alias("y")
-    once = (F.col("x.i") != F.col("x.j")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    joined = x.join(y, same & once & (F.col("x.component") != F.col("y.component")) & _sizes_allow("x", "y", percent) & (_differing_bits("x", "y") <= most))
-    a, b = F.col("x.doc_id"), F.col("y.doc_id")
-    return joined.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
