@@ -4,9 +4,9 @@ Encoding keeps an agenda of adjacent symbol pairs ordered by the score of the
 piece they would form: the best pair merges, its new neighbours join the
 agenda, and stale entries are skipped.  No piece has a space mark after
 another character, and none holds a line feed, so a text falls apart into
-short chunks that merge independently; each distinct chunk is merged once per
+short chunks that merge independently; each distinct one is merged once per
 worker.  Short chunks keep their agendas as rows of one array and merge side
-by side.  In every Arrow batch the chunks met for the first time are checked
+by side.  In every Arrow batch the words met for the first time are checked
 against the sentencepiece library.
 """
 
@@ -16,21 +16,24 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress, pairwise
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.llm.sampling import chunked
 
 SPACE = "▁"
-#: Chunks that a worker remembers, and the longest that it does.
-MEMO_CHUNKS, MEMO_LENGTH = 300_000, 48
-#: Chunks of up to so many characters, all of them pieces, merge side by side.
-ROW_LENGTH = 24
+#: Words that a worker remembers, and the longest that it does.
+MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+#: Rows of a batch that are encoded and handed on at once.
+ROWS_AT_ONCE = 250
+#: Chunks of up to so many characters, all of them pieces, merge side by side, in arrays of these widths.
+ROW_WIDTHS = (0, 6, 8, 10, 12, 16, 24)
 _NONE = np.iinfo(np.int32).max
 
 
@@ -47,7 +50,7 @@ class PieceEncoder:
         if len(self.bytes) != 256 or any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a merge-type model with byte fallback whose pieces don't cross spaces is needed")
         self.memo: dict[str, bytes] = {}
-        #: Chunks checked so far, and those for which the library had other ids (its ids are used).
+        #: Words checked so far, and those for which the library had other ids (its ids are used).
         self.checked = self.differing = 0
         self._lead = lib.encode("\n")
         self._single = np.full(0x110000, -1, np.int32)
@@ -61,7 +64,9 @@ class PieceEncoder:
         self._rows = all(p.strip(SPACE) == "" for p in tied) and lib.get_piece_size() < 1 << 20
         self._by_place = np.array([self.ids[p] for p in order], np.int32)
         pairs = sorted((self.ids[p[:k]] << 20 | self.ids[p[k:]], place) for place, p in enumerate(order) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self._pairs, self._places = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.int64, np.int32), strict=True))
+        self._slots = np.full(1 << max(10, (4 * len(pairs)).bit_length()), -1, np.int64)
+        self._places = np.full(len(self._slots), _NONE, np.int32)
+        self._enter(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
 
     def chunks(self, text: str) -> list[str]:
         """The text with its leading space mark, cut before each word and around line feeds."""
@@ -96,11 +101,35 @@ class PieceEncoder:
                 ids += [one] if one is not None else [self.bytes[b] for b in symbol.encode()]
         return ids
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+
+    def _enter(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """Put the pairs into the hash table; a pair whose slot is taken goes to the next one."""
+        at, last = self._slot(keys), len(self._slots) - 1
+        while len(keys):
+            free = self._slots[at] < 0
+            self._slots[at[free]] = keys[free]
+            held = self._slots[at] == keys
+            self._places[at[held]] = places[held]
+            keys, places, at = keys[~held], places[~held], at[~held] + 1 & last
+
     def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Place of the piece that two symbols form, or _NONE."""
-        key = left.astype(np.int64) << 20 | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
-        return np.where((self._pairs[at] == key) & (right >= 0) & (left >= 0), self._places[at], _NONE)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, 0).ravel()
+        at = self._slot(key)
+        found = self._slots[at]
+        out = np.where(found == key, self._places[at], _NONE).astype(np.int32)
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & len(self._slots) - 1
+            found = self._slots[at]
+            hit = found == key[rest]
+            out[rest[hit]] = self._places[at[hit]]
+            more = ~hit & (found >= 0)
+            rest, at = rest[more], at[more]
+        return out.reshape(left.shape)
 
     def merge_rows(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks, and how many each has; ``codes`` are the ids of their characters one after another."""
@@ -127,46 +156,78 @@ class PieceEncoder:
         return out[out >= 0], (out >= 0).sum(1)
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks met for the first time, as 32-bit numbers, checked against the library."""
+        """Ids of words met for the first time, as 32-bit numbers, checked against the library.
+
+        A word stands for itself after a space mark, or, if it starts with a line feed, for itself as it is.
+        """
         if not new:
             return {}
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        single = self._single[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)]
-        spaced = np.fromiter((c.startswith(SPACE * 2) for c in new), bool, len(new))
-        short = ~spaced & (np.minimum.reduceat(single, np.cumsum(sizes) - sizes) >= 0) & (sizes <= ROW_LENGTH) & self._rows
-        got: list[bytes] = [b""] * len(new)
-        if short.any():
-            flat, counts = self.merge_rows(single[np.repeat(short, sizes)], sizes[short])
+        spaced = [w for w in new if w[0] != "\n"]
+        after = [w for w in new if w[0] == "\n"]
+        out = dict(zip(spaced, self._merged([SPACE + w for w in spaced]), strict=True))
+        feed = np.array(self._lead[-1:], np.int32).tobytes()
+        out.update((w, feed + ids) for w, ids in zip(after, self._merged([w[1:] for w in after]), strict=True))
+        # the library puts a space mark before its input, which belongs to the first kind of words only
+        for words, lead in ((spaced, 0), (after, 1)):
+            want = self.library.encode(words, num_threads=1)
+            if lead:
+                want = [w[lead:] for w in want]
+            flat = np.fromiter(chain.from_iterable(want), np.int32)
+            if b"".join([out[w] for w in words]) != flat.tobytes():
+                expected = [np.array(w, np.int32).tobytes() for w in want]
+                self.differing += sum(out[w] != e for w, e in zip(words, expected, strict=True))
+                out.update(zip(words, expected, strict=True))
+        self.checked += len(new)
+        return out
+
+    def _merged(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk: short ones of known characters side by side, all others one by one."""
+        if not chunks:
+            return []
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        single = self._single[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+        starts = np.cumsum(sizes) - sizes
+        short = (sizes > 0) & (sizes <= ROW_WIDTHS[-1]) & self._rows
+        known = np.append(np.cumsum(single < 0), 0)
+        short &= known[np.maximum(starts + sizes - 1, 0)] == known[starts - 1]
+        got: list[bytes] = [b""] * len(chunks)
+        for low, high in pairwise(ROW_WIDTHS):
+            alike = short & (sizes > low) & (sizes <= high)
+            if not alike.any():
+                continue
+            flat, counts = self.merge_rows(single[np.repeat(alike, sizes)], sizes[alike])
             data, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
-            for i, start, end in zip(np.flatnonzero(short).tolist(), [0, *ends], ends, strict=False):
+            start = 0
+            for i, end in zip(np.flatnonzero(alike).tolist(), ends, strict=True):
                 got[i] = data[start:end]
+                start = end
         for i in np.flatnonzero(~short).tolist():
-            got[i] = np.array(self.merge(new[i]), np.int32).tobytes()
-        # after a line feed a chunk stands as it is, without a further space mark
-        want = self.library.encode(["\n" + c.replace(SPACE, " ") for c in new], num_threads=1)
-        lead = len(self._lead)
-        if b"".join(got) != np.fromiter((i for w in want for i in w[lead:]), np.int32).tobytes():
-            expected = [np.array(w[lead:], np.int32).tobytes() for w in want]
-            self.differing += sum(map(bytes.__ne__, got, expected))
-            got = expected
-        self.checked += len(new)
-        return dict(zip(new, got, strict=True))
+            got[i] = np.array(self.merge(chunks[i]), np.int32).tobytes()
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers."""
-        cut = [self.chunks(t) for t in texts]
-        if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
-        met: set[str] = set().union(*cut)
-        new = self.learn(list(met - self.memo.keys()))
+        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        plain = [SPACE not in t and "" not in words for t, words in zip(texts, cut, strict=True)]
         known = self.memo
+        if len(known) > MEMO_WORDS:
+            known.clear()
+        new = self.learn(list(set().union(*compress(cut, plain)) - known.keys()))
         known.update(new)
-        out = [b"".join([known[c] for c in chunks]) for chunks in cut]
-        for chunk in new:
-            if len(chunk) > MEMO_LENGTH:
-                del known[chunk]
+        out = [b"".join([known[w] for w in words]) if ok else self.one_by_one(text) for text, words, ok in zip(texts, cut, plain, strict=True)]
+        for word in new:
+            if len(word) > MEMO_LENGTH:
+                del known[word]
         return out
 
+    def one_by_one(self, text: str) -> bytes:
+        """Ids of a text with runs of spaces, checked as a whole."""
+        ids = [i for c in self.chunks(text) for i in self.merge(c)]
+        want = self.library.encode(text)
+        self.checked += 1
+        self.differing += ids != want
+        return np.array(want, np.int32).tobytes()
+
 
 _CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _encoders: dict[str, PieceEncoder] = {}
@@ -178,6 +239,12 @@ def encoder_for(model_file: str) -> PieceEncoder:
     return _encoders[model_file]
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(b) // 4 for b in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
 def encode_pieces(model_file: str, text: Column) -> Column:
     """Ids of whole texts, without begin and end ids; a null text is taken as empty and has no ids.
 
@@ -189,19 +256,26 @@ def encode_pieces(model_file: str, text: Column) -> Column:
         encoder = encoder_for(model_file)
         for batch in batches:
             ids = [b for run in chunked(batch.to_pylist(), 1_000_000) for b in encoder.encode(run)]
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(b) // 4 for b in ids], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+            yield _lists(ids)
 
     return encode(text)
 
 
+_libraries: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def library_for(model_file: str) -> sentencepiece.SentencePieceProcessor:
+    if model_file not in _libraries:
+        _libraries[model_file] = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return _libraries[model_file]
+
+
 def decode_pieces(model_file: str, ids: Column) -> Column:
     """Text of a list of ids, by the library; null and empty lists give an empty text."""
 
     @F.arrow_udf(T.StringType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        library = encoder_for(model_file).library
+        library = library_for(model_file)
         for batch in batches:
             out: list[str] = []
             for at in range(0, len(batch), 200):
@@ -209,3 +283,19 @@ def decode_pieces(model_file: str, ids: Column) -> Column:
             yield pa.array(out, pa.string())
 
     return decode(ids)
+
+
+def encoded_and_decoded(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, decoded`` of each row, in one pass of small batches: what the two functions above give together."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(model_file)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids = [b for texts in chunked(batch.column("text").to_pylist(), 500_000) for b in encoder.encode(texts)]
+                decoded = [encoder.library.decode(np.frombuffer(b, np.int32).tolist()) if b else "" for b in ids]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -13,7 +13,7 @@ from passagework.llm.image_copies import image_copies, media_from_embeddings
 from passagework.llm.language_id import predict_language, train_language_id
 from passagework.llm.near_duplicates import near_duplicates
 from passagework.llm.packing import pack_documents
-from passagework.llm.piece_codec import decode_pieces, encode_pieces
+from passagework.llm.piece_codec import encoded_and_decoded
 from passagework.llm.quality_crf import quality_score, train_quality
 from passagework.llm.sampling import fold
 from passagework.llm.sharding import shard_documents
@@ -123,9 +123,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded into pieces and decoded again, as digests."""
     docs = read_table(spark, sf_dir, "documents")
-    encoded = docs.select("doc_id", encode_pieces(PIECE_MODEL, F.col("text")).alias("ids"))
-    decoded = encoded.withColumn("decoded", decode_pieces(PIECE_MODEL, F.col("ids")))
-    return decoded.select(
+    return encoded_and_decoded(docs, PIECE_MODEL).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
