@@ -165,7 +165,7 @@ def alpha_value(label: Column) -> Column:
 def next_label(kind: Column, label: Column) -> Column:
     """Label after ``label`` in a ``num``, ``alpha``, ``upper`` or ``roman`` sequence; null where there is none."""
     one = F.char(F.ascii(label) + 1)
-    alpha = F.when(F.length(label) == 1, one).when(label == "z", F.lit("aa"))
+    alpha = F.when(label == "z", F.lit("aa")).when(F.length(label) == 1, one)
     roman = F.get(F.split(F.lit(" ".join(ROMANS)), " "), roman_value(label))
     return (
         F.when(kind == "num", (label.try_cast("int") + 1).cast("string"))
