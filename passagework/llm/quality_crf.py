@@ -185,7 +185,7 @@ def fit_line_crf(base: np.ndarray, lengths: np.ndarray, labels: np.ndarray, *, s
     """
     prior = float(labels.mean()) if len(labels) else 0.5
     crf = LineCrf(np.zeros(N_FEATURES), np.zeros(2), np.zeros((2, 2)), prior)
-    if not 0 < prior < 1:
+    if not len(labels) or not 0 < prior < 1:
         crf.weights[0] = 20 * (prior - 0.5)
         return crf
     features = with_neighbours(base, lengths).astype(np.float64)

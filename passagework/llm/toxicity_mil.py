@@ -33,7 +33,7 @@ PREFIXES = (4, 5)
 #: Words whose weight a worker remembers.
 MEMO_WORDS = 300_000
 
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
+_SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 SCORE_TYPE = "score double, spans array<struct<start:int,end:int,score:double>>"
