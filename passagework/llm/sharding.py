@@ -22,6 +22,8 @@ from passagework.sources.scratch import save_scratch
 
 #: Fixed for the life of a data set: records never change their slot.
 VIRTUAL_SLOTS = 4096
+#: Parts in which the rows of a slot are numbered.
+CELLS = 64
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
@@ -116,43 +118,55 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
     per input row.  ``size`` is the UTF-8 bytes of the text (null: none) plus 1.  ``slot`` is the place in
     the shard, gapless from 0.  The law is ``bytes``: the map depends on all sizes, so ``grown_shard`` is null.
 
-    Rows with equal ids share a virtual slot; a null id is hashed by the text instead, so that rows without
-    an id spread.  Repeated rows take a place each.  An empty table gives an empty result, and extra columns
-    are ignored.  With ``map_path`` the versions of the map are stored there.
+    Records are hashed by their text, so equal texts share a virtual slot and a shard.  A slot with more bytes
+    than half a shard's share is split: its records are hashed by id as well, which spreads a group of copies
+    that is too large for even shards.  Null and empty texts count as equal.  Repeated rows take a place each,
+    an empty table gives an empty result, and extra columns are ignored.  With ``map_path`` the versions of the
+    map are stored there.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("\0"), text), F.lit(""))
-    # doc ids and lengths only: the texts are read once and never shuffled
+    # ids and lengths only: the texts are read once and never shuffled
     narrow = save_scratch(
         docs.select(
             F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(key, n_slots).alias("virtual_slot"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(F.coalesce(text, F.lit("")), n_slots).alias("virtual_slot"),
         ),
         "shard-sizes",
     )
-    # a slot's rows are numbered in sub-slots, so that rows with one and the same id don't meet in one task
-    sub = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(8)).cast("int")
-    narrow = narrow.withColumn("sub", sub)
-    cells = narrow.groupBy("virtual_slot", "sub").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()
-    slot_bytes, counts = [0] * n_slots, {}
-    for slot, part, size, n in cells:
-        slot_bytes[slot] += size
-        counts[slot, part] = n
+    slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
+    split = [i for i, b in enumerate(slot_bytes) if 2 * n_shards * b > sum(slot_bytes)]  # fewer than twice the shards
+    if split:
+        spread = F.pmod(F.xxhash64("doc_id", "virtual_slot", "size"), F.lit(n_slots)).cast("int")
+        narrow = narrow.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(split), spread).otherwise(F.col("virtual_slot")))
+        slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
     first = SlotMap.initial(n_shards, n_slots)
     final = first.rebalanced(slot_bytes)
     if map_path:
         save_slot_map(spark, first, map_path)
         save_slot_map(spark, final, map_path)
-    used, places = [0] * n_shards, []
-    for slot, part in sorted(counts):
-        shard = final.shards[slot]
-        places.append((slot, part, shard, used[shard]))
-        used[shard] += counts[slot, part]
-    # at most 8 rows per virtual slot: a size that doesn't grow with the input
-    table = F.broadcast(spark.createDataFrame(places, "virtual_slot int, sub int, shard int, start long"))
-    nth = F.row_number().over(W.partitionBy("virtual_slot", "sub").orderBy("doc_id", "text_crc32", "size"))
-    return narrow.withColumn("nth", nth).join(table, ["virtual_slot", "sub"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("nth") - 1).alias("slot"),
+    used, starts = [0] * n_shards, []
+    for slot, shard in enumerate(final.shards):
+        starts.append((slot, shard, used[shard]))
+        used[shard] += slot_rows[slot]
+    # one row per virtual slot: a size that doesn't grow with the input
+    table = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, start long"))
+    # a slot's rows are numbered in cells, so that a large group of copies doesn't meet in one task
+    cell = ["virtual_slot", "cell"]
+    narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CELLS)).cast("int"))
+    ahead = F.sum("n").over(W.partitionBy("virtual_slot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
+    cells = narrow.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).select(*cell, F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(W.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size"))
+    numbered = narrow.withColumn("nth", nth).join(cells, cell).join(table, "virtual_slot")
+    return numbered.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("ahead") + F.col("nth") - 1).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(final.version).alias("map_version"),
     )
+
+
+def _slot_sums(narrow: DataFrame, n_slots: int) -> tuple[list[int], list[int]]:
+    """Bytes and rows of every virtual slot."""
+    sizes, rows = [0] * n_slots, [0] * n_slots
+    for slot, b, n in narrow.groupBy("virtual_slot").agg(F.sum("size"), F.count(F.lit(1))).collect():
+        sizes[slot], rows[slot] = b, n
+    return sizes, rows
