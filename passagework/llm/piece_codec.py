@@ -16,7 +16,7 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, pairwise
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.llm.row_merger import RowMerger
 from passagework.llm.sampling import chunked
 
 SPACE = "▁"
@@ -32,9 +33,6 @@ SPACE = "▁"
 MEMO_WORDS, MEMO_LENGTH = 300_000, 48
 #: Rows of a batch that are encoded and handed on at once.
 ROWS_AT_ONCE = 250
-#: Chunks of up to so many characters, all of them pieces, merge side by side, in arrays of these widths.
-ROW_WIDTHS = (0, 6, 8, 10, 12, 16, 24)
-_NONE = np.iinfo(np.int32).max
 
 
 class PieceEncoder:
@@ -62,11 +60,7 @@ class PieceEncoder:
         tied = {p for p in self.ids if len(p) > 1 and often[self.cost[p]] > 1}
         order = sorted(self.ids.keys() - tied, key=self.cost.__getitem__)
         self._rows = all(p.strip(SPACE) == "" for p in tied) and lib.get_piece_size() < 1 << 20
-        self._by_place = np.array([self.ids[p] for p in order], np.int32)
-        pairs = sorted((self.ids[p[:k]] << 20 | self.ids[p[k:]], place) for place, p in enumerate(order) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
-        self._slots = np.full(1 << max(10, (4 * len(pairs)).bit_length()), -1, np.int64)
-        self._places = np.full(len(self._slots), _NONE, np.int32)
-        self._enter(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        self._merger = RowMerger((self.ids[p[:k]], self.ids[p[k:]], self.ids[p], place) for place, p in enumerate(order) for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids)
 
     def chunks(self, text: str) -> list[str]:
         """The text with its leading space mark, cut before each word and around line feeds."""
@@ -101,60 +95,6 @@ class PieceEncoder:
                 ids += [one] if one is not None else [self.bytes[b] for b in symbol.encode()]
         return ids
 
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
-
-    def _enter(self, keys: np.ndarray, places: np.ndarray) -> None:
-        """Put the pairs into the hash table; a pair whose slot is taken goes to the next one."""
-        at, last = self._slot(keys), len(self._slots) - 1
-        while len(keys):
-            free = self._slots[at] < 0
-            self._slots[at[free]] = keys[free]
-            held = self._slots[at] == keys
-            self._places[at[held]] = places[held]
-            keys, places, at = keys[~held], places[~held], at[~held] + 1 & last
-
-    def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of the piece that two symbols form, or _NONE."""
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, 0).ravel()
-        at = self._slot(key)
-        found = self._slots[at]
-        out = np.where(found == key, self._places[at], _NONE).astype(np.int32)
-        rest = np.flatnonzero((found != key) & (found >= 0))
-        at = at[rest]
-        while len(rest):
-            at = at + 1 & len(self._slots) - 1
-            found = self._slots[at]
-            hit = found == key[rest]
-            out[rest[hit]] = self._places[at[hit]]
-            more = ~hit & (found >= 0)
-            rest, at = rest[more], at[more]
-        return out.reshape(left.shape)
-
-    def merge_rows(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks, and how many each has; ``codes`` are the ids of their characters one after another."""
-        width = int(lengths.max()) + 1
-        out = np.full((len(lengths), width), -1, np.int32)
-        out[np.arange(width) < lengths[:, None]] = codes
-        rows, ids, columns = np.arange(len(lengths)), out.copy(), np.arange(width)
-        agenda = np.full(ids.shape, _NONE, np.int32)
-        agenda[:, :-1] = self._place(ids[:, :-1], ids[:, 1:])
-        while len(rows):
-            best = agenda.argmin(1)
-            place = agenda[np.arange(len(rows)), best]
-            if (done := place == _NONE).any():
-                out[rows[done]] = ids[done]
-                rows, ids, agenda, best, place = rows[~done], ids[~done], agenda[~done], best[~done], place[~done]
-            each, later = np.arange(len(rows)), columns > best[:, None]
-            ids[:, :-1] = np.where(later[:, :-1], ids[:, 1:], ids[:, :-1])
-            agenda[:, :-1] = np.where(later[:, :-1], agenda[:, 1:], agenda[:, :-1])
-            ids[:, -1], agenda[:, -1] = -1, _NONE
-            ids[each, best] = merged = self._by_place[place]
-            agenda[each, best] = self._place(merged, ids[each, best + 1])
-            inner = np.flatnonzero(best)
-            agenda[inner, best[inner] - 1] = self._place(ids[inner, best[inner] - 1], merged[inner])
-        return out[out >= 0], (out >= 0).sum(1)
-
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of words met for the first time, as 32-bit numbers, checked against the library.
 
@@ -186,24 +126,8 @@ class PieceEncoder:
             return []
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         single = self._single[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
-        starts = np.cumsum(sizes) - sizes
-        short = (sizes > 0) & (sizes <= ROW_WIDTHS[-1]) & self._rows
-        known = np.append(np.cumsum(single < 0), 0)
-        short &= known[np.maximum(starts + sizes - 1, 0)] == known[starts - 1]
-        got: list[bytes] = [b""] * len(chunks)
-        for low, high in pairwise(ROW_WIDTHS):
-            alike = short & (sizes > low) & (sizes <= high)
-            if not alike.any():
-                continue
-            flat, counts = self.merge_rows(single[np.repeat(alike, sizes)], sizes[alike])
-            data, ends = flat.tobytes(), (4 * np.cumsum(counts)).tolist()
-            start = 0
-            for i, end in zip(np.flatnonzero(alike).tolist(), ends, strict=True):
-                got[i] = data[start:end]
-                start = end
-        for i in np.flatnonzero(~short).tolist():
-            got[i] = np.array(self.merge(chunks[i]), np.int32).tobytes()
-        return got
+        got = self._merger.merge(single, sizes, np.full(len(chunks), self._rows))
+        return [np.array(self.merge(c), np.int32).tobytes() if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit numbers."""

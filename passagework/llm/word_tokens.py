@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -9,8 +10,10 @@ import unicodedata
 import numpy as np
 from tokenizers import Tokenizer
 
+from passagework.llm.row_merger import RowMerger
+
 #: Words that a worker remembers, and the longest that it does.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 48
+MEMO_WORDS, MEMO_LENGTH = 250_000, 48
 
 # Letters below U+0180; none of these characters changes under NFC, and lower() treats them one by one.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)] if c not in (0x130, 0x149, 0xAD)]
@@ -20,38 +23,46 @@ _OTHER_THAN_PLAIN = re.compile("[^" + re.escape("".join(_PLAIN)) + "]")
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself where it is printable, else the next letter from U+0100."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
+
+
 class WordTokens:
     """Ids as the ``tokenizers`` library gives them, as little-endian 32-bit numbers.
 
     Texts of plain characters are cut into the words that the tokenizer's own rule cuts them into, and each
-    distinct word goes through the library once.  All other texts go through the library whole.
+    distinct word is encoded once.  All other texts go through the library whole.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(tokenizer_file)
-        size = self.library.get_vocab_size()
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        model = json.loads(self.library.to_str())["model"]
+        vocabulary = model["vocab"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.merger = RowMerger((vocabulary[a], vocabulary[b], vocabulary[a + b], i) for i, (a, b) in enumerate(merges))
+        # bytes as symbols, within a word and at its end
+        self.inner, self.last = (np.array([vocabulary.get(c + end, -1) for c in _byte_letters()], np.int32) for end in ("", "</w>"))
         self.memo: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words: they go through the library in one text, and each word ends with a word-end token."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            run = words[at : at + 2000]
-            ids = np.array(self.library.encode(" ".join(run), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(run):
-                out.update((w, self.whole(w)) for w in run)
-                continue
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(run, stops.tolist(), strict=True):
-                out[word] = data[4 * start : 4 * stop]
-                start = stop
-        return out
+        """Ids of words: short ones are merged side by side by the tokenizer's merges, others go through the library."""
+        if not words:
+            return {}
+        data = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        codes = np.frombuffer(b"".join(data), np.uint8)
+        symbols = self.inner[codes]
+        ends = np.cumsum(sizes) - 1
+        symbols[ends] = self.last[codes[ends]]
+        got = self.merger.merge(symbols, sizes, np.ones(len(words), bool))
+        return {w: self.whole(w) if ids is None else ids for w, ids in zip(words, got, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_WORDS:
