@@ -130,6 +130,43 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Components of the links ``l (a, b)`` of ``v (id)`` by all paths; groups are small on the tables that SQL is run on.
+SQL_COMPONENTS = """
+reach AS (
+  SELECT a AS x, b AS y FROM both_ways
+  UNION SELECT r.x, e.b FROM reach r JOIN both_ways e ON r.y = e.a
+), component AS (SELECT v.id, least(v.id, coalesce(min(r.y), v.id)) AS component_id FROM v LEFT JOIN reach r ON r.x = v.id GROUP BY v.id)"""
+
+OP6_SQL = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+v AS (SELECT doc_id AS id FROM documents), {SQL_COMPONENTS}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, k.component_id = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN component k ON k.id = d.doc_id
+"""
+
+OP9_SQL = f"""
+WITH RECURSIVE u AS (
+  SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), ok AS (
+  SELECT id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM u
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.id AS a, b.id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.id < b.id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a AS id, count(*) AS n FROM both_ways GROUP BY a),
+v AS (SELECT vec_id AS id FROM embeddings), {SQL_COMPONENTS}
+SELECT d.vec_id, coalesce(n.n, 0) AS n_links, k.component_id, k.component_id = d.vec_id AS kept
+FROM embeddings d LEFT JOIN n ON n.id = d.vec_id JOIN component k ON k.id = d.vec_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
@@ -145,4 +182,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
+    "op6_near_duplicates": OP6_SQL,
+    "op9_embeddings": OP9_SQL,
 }

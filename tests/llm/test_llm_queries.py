@@ -20,7 +20,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for table in ("pages", "documents"):
+    for table in ("pages", "documents", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     got, want = (df[sorted(df.columns)].sort_values(sorted(df.columns)).reset_index(drop=True) for df in (Q.QUERIES[name](spark, sf_dir).toPandas(), con.execute(Q.ORACLE_SQL[name]).df()))
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
@@ -44,3 +44,18 @@ def test_pipeline_stages(spark, sf_dir):
     assert set(labels.loc[labels["quality"] == 1, "doc_id"]) <= kept["quality"]
     run = pipeline.run(spark, sf_dir).toPandas()
     assert len(run) == len(last) and set(run["doc_id"]) == set(last["doc_id"])
+
+
+def test_pipeline_stages_on_odd_documents(spark, sf_dir):
+    texts = [None, "", " \n", "A tie of words that is long enough.", "A tie of words that is long enough.", "word " * 30000, "é 你好 😀"]
+    rows = [(i, t, None, None, None, "Text", 1) for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 5, None, None), (None, "without an id", "en", "s", 5, "x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, kept int")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name != "packing":
+            assert out.columns == docs.columns
+        found = [r["doc_id"] for r in out.collect()]
+        assert None in found and set(found) <= {r["doc_id"] for r in docs.collect()}
+        if name == "near_duplicates":
+            assert 4 not in found and found.count(3) == 2 and {0, 1, 2, 6} <= set(found)
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
