@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.components import connected_components, spanning_roots
+from passagework.llm.sampling import give_back
 from passagework.sources.scratch import save_scratch
 
 #: A pair of similarity 0.8 agrees in no band with a chance of 3 in a million.
@@ -44,12 +45,12 @@ SLACK = 5.0
 #: Buckets of up to so many members are joined with themselves; larger ones go block against block.
 SMALL_BUCKET = 16
 #: Members of a block of a bucket, and of a family with its full sets.
-BUCKET_BLOCK, FAMILY_BLOCK = 1024, 256
+BUCKET_BLOCK, FAMILY_BLOCK = 512, 256
 #: Small families that are confirmed together hold about so many members.
 FAMILY_BATCH = 1000
 #: Ids of up to so many candidates (8 MB) are sent to the scan of the texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 
 _rng = np.random.default_rng(20240229)
 _MULTIPLY = (_rng.integers(0, 2**32, SAMPLES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -60,7 +61,7 @@ _MIX2 = np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Words(dict):
-    """64-bit hash of a word, worked out once per worker while there is room."""
+    """64-bit hash of a word, worked out once per task while there is room."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
@@ -151,6 +152,8 @@ def shingle_sketches(docs: DataFrame, words: int) -> DataFrame:
                 words_of = np.stack(bits, 1)
                 columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), _binary(digests), pa.array(bands, pa.list_(pa.int64())), *(pa.array(w) for w in words_of)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "bands", *_SKETCH])
+        _words.clear()
+        give_back()
 
     return docs.mapInArrow(sketch, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"{s} long" for s in _SKETCH))
 
@@ -168,6 +171,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 batch = whole.slice(at, 200)
                 values = [shingle_hashes(t, words).tobytes() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _binary(values)], ["doc_id", "shingles"])
+        _words.clear()
+        give_back()
 
     return docs.mapInArrow(sets, f"doc_id {kind}, shingles binary")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from passagework.llm.sampling import chunked
+from passagework.llm.sampling import chunked, give_back
 from passagework.llm.word_tokens import word_tokens_for
 from passagework.sources.scratch import save_scratch
 
@@ -182,7 +182,8 @@ def token_bytes(tokenizer_file: str, text: Column) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = word_tokens_for(tokenizer_file)
         for batch in batches:
-            yield pa.array([b for run in chunked(batch.to_pylist(), 1_000_000) for b in words.encode(run)], pa.binary())
+            yield pa.array([b for run in chunked(batch.to_pylist(), 500_000) for b in words.encode(run)], pa.binary())
+        give_back()
 
     return encode(text)
 

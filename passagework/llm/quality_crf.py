@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.sampling import chunked, labelled_sample
+from passagework.llm.sampling import chunked, give_back, labelled_sample
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 3000
@@ -241,6 +241,7 @@ def quality_score(model: LineCrf, text: Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(np.concatenate([model.score(run) for run in chunked(texts.tolist())] or [np.zeros(0)]))
+            yield pd.Series(np.concatenate([model.score(run) for run in chunked(texts.tolist(), 1_000_000)] or [np.zeros(0)]))
+        give_back()
 
     return score(text)

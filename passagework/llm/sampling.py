@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
 
 
+def give_back() -> None:
+    """Return what a finished task's Arrow batches held to the system; workers live on and serve other stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def chunked(texts: list[str | None], max_chars: int = 4_000_000):
     """Runs of ``texts`` of about ``max_chars`` characters, so that arrays over characters stay small."""
     run: list[str] = []

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.sampling import labelled_sample
+from passagework.llm.sampling import give_back, labelled_sample
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 4000
@@ -31,7 +31,7 @@ MAX_FEATURES = 4000
 FIT_STEPS = 500
 PREFIXES = (4, 5)
 #: Words whose weight a worker remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 
 _SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -182,5 +182,6 @@ def toxicity(model: ToxicityModel, text: Column, at_least: float = 0.5) -> Colum
         memo = _Memo(model)
         for texts in batches:
             yield pd.DataFrame([score_text(model, memo, t, at_least) for t in texts], columns=["score", "spans"])
+        give_back()
 
     return score(text)
