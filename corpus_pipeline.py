@@ -38,9 +38,12 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of what is left, each with its sequence and offset."""
-    return pack_documents(docs, WORD_TOKENIZER)
+    return pack_documents(docs, WORD_TOKENIZER, memo_words=PACKING_MEMO)
 
 
+#: Words that a worker remembers for packing: fewer than alone, since the workers have served the other stages too.
+PACKING_MEMO = 250_000
+
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("packing", packed)]
 
 #: The classifiers and the packer can't be written in SQL; the tests hold every stage against a brute-force version.

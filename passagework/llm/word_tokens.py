@@ -6,14 +6,15 @@ import json
 import os
 import re
 import unicodedata
+from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from passagework.llm.row_merger import RowMerger
 
-#: Words that a worker remembers, and the longest that it does.
-MEMO_WORDS, MEMO_LENGTH = 250_000, 48
+#: Words that a worker remembers (about 200 bytes each), and the longest that it does.
+MEMO_WORDS, MEMO_LENGTH = 450_000, 48
 
 # Letters below U+0180; none of these characters changes under NFC, and lower() treats them one by one.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)] if c not in (0x130, 0x149, 0xAD)]
@@ -37,7 +38,7 @@ class WordTokens:
     distinct word is encoded once.  All other texts go through the library whole.
     """
 
-    def __init__(self, tokenizer_file: str) -> None:
+    def __init__(self, tokenizer_file: str, memo_words: int = MEMO_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(tokenizer_file)
         model = json.loads(self.library.to_str())["model"]
@@ -47,6 +48,7 @@ class WordTokens:
         # bytes as symbols, within a word and at its end
         self.inner, self.last = (np.array([vocabulary.get(c + end, -1) for c in _byte_letters()], np.int32) for end in ("", "</w>"))
         self.memo: dict[str, bytes] = {}
+        self.memo_words = memo_words
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,9 +67,10 @@ class WordTokens:
         return {w: self.whole(w) if ids is None else ids for w, ids in zip(words, got, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         memo = self.memo
+        if len(memo) > self.memo_words:
+            for word in list(islice(memo, self.memo_words // 2)):  # the older half; common words come back at once
+                del memo[word]
         cut = [None if "<|" in t or _OTHER_THAN_PLAIN.search(t) else _WORD.findall(t.lower()) for t in texts]
         new = self.learn(list(set().union(*(c for c in cut if c)) - memo.keys()))
         memo.update(new)
@@ -81,7 +84,7 @@ class WordTokens:
 _made: dict[str, WordTokens] = {}
 
 
-def word_tokens_for(tokenizer_file: str) -> WordTokens:
+def word_tokens_for(tokenizer_file: str, memo_words: int = MEMO_WORDS) -> WordTokens:
     if tokenizer_file not in _made:
-        _made[tokenizer_file] = WordTokens(tokenizer_file)
+        _made[tokenizer_file] = WordTokens(tokenizer_file, memo_words)
     return _made[tokenizer_file]
