@@ -18,7 +18,7 @@ import public_tokenizers  # noqa: E402
 from passagework.llm import queries as Q  # noqa: E402
 from passagework.llm.components import connected_components, spanning_roots  # noqa: E402
 from passagework.llm.embedding_dups import ProductQuantiser, embedding_duplicates  # noqa: E402
-from passagework.llm.image_copies import agreeing_corners, describe, image_copies, media_from_embeddings, write_pgm  # noqa: E402
+from passagework.llm.image_copies import _resized, agreeing_corners, describe, image_copies, media_from_embeddings, write_pgm  # noqa: E402
 from passagework.llm.language_id import LanguageFilter, predict_language, train_language_id  # noqa: E402
 from passagework.llm.near_duplicates import minhash, most_differing_bits, near_duplicates, odd_sketch, shingle_hashes  # noqa: E402
 from passagework.llm.packing import best_fit_patterns, exact_patterns, pack_documents, packed_sequences, plan_packing, token_pieces  # noqa: E402
@@ -214,6 +214,31 @@ def test_image_descriptors_follow_turns():
     assert len(describe(np.zeros((5, 5)))[0]) == len(describe(np.zeros((60, 60)))[0]) == 0 and write_pgm(np.zeros((2, 3))).startswith(b"P5 3 2 255\n")
 
 
+def _drawn_field(rng, cells, side):
+    """A smooth random image."""
+    at = np.linspace(0, cells - 1.001, side)
+    i, part = at.astype(int), at % 1
+    grid = rng.normal(size=(cells, cells))
+    rows = grid[i] * (1 - part)[:, None] + grid[i + 1] * part[:, None]
+    return 127.5 + 110 * np.tanh(1.5 * (rows[:, i] * (1 - part) + rows[:, i + 1] * part))
+
+
+def _copy_components(spark, images):
+    media = spark.createDataFrame([(i, bytearray(write_pgm(grey))) for i, grey in images.items()], "media_id long, image binary")
+    return {r.media_id: r.component_id for r in image_copies(media).collect()}
+
+
+def test_image_copies_after_stronger_edits(spark):
+    rng = np.random.default_rng(8)
+    images = {}
+    for n in range(12):
+        grey = _drawn_field(rng, 19, 72)
+        edits = [grey + rng.normal(0, 12, grey.shape), 60 + 0.4 * grey + rng.normal(0, 4, grey.shape), np.rot90(grey) + rng.normal(0, 8, grey.shape), _resized(grey, 1 / 0.85), grey[10:60, 10:46] + rng.normal(0, 4, (50, 36))]
+        images.update({10 * n + k: image for k, image in enumerate([grey, *edits])})
+    got = _copy_components(spark, images)
+    assert {i: c for i, c in got.items() if c != i // 10 * 10} == {}
+
+
 # --- 6 near-duplicates
 
 
