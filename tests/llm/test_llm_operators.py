@@ -239,6 +239,20 @@ def test_image_copies_after_stronger_edits(spark):
     assert {i: c for i, c in got.items() if c != i // 10 * 10} == {}
 
 
+def test_image_copies_crops_of_large_images(spark):
+    rng = np.random.default_rng(9)
+    images = {}
+    for n in range(3):
+        # the strongest corners are in one part only
+        grey = _drawn_field(rng, 70, 280)
+        grey[:, 140:] = 127.5 + (grey[:, 140:] - 127.5) * 0.3
+        images.update({10 * n: grey, 10 * n + 1: grey[140:, 140:], 10 * n + 2: grey[70:210, 70:210], 10 * n + 3: grey[200:250, 200:250]})
+    got = _copy_components(spark, images)
+    assert {i: c for i, c in got.items() if c != i // 10 * 10} == {}
+    places = describe(images[0])[0]
+    assert all(((places[:, 0] // 40 == i) & (places[:, 1] // 40 == j)).sum() >= 6 for i in range(1, 6) for j in range(1, 6))
+
+
 # --- 6 near-duplicates
 
 
