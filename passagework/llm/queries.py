@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,6 +20,7 @@ from passagework.llm.sampling import fold
 from passagework.llm.sharding import shard_documents
 from passagework.llm.toxicity_mil import toxicity, train_toxicity
 from passagework.llm.url_filter import UrlRule, filter_urls
+from passagework.sources.scratch import scratch_root
 from passagework.sources.tables import read_table
 
 #: Rules of the URL query: verdict and host with path prefix.
@@ -88,8 +90,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of near equal bytes."""
-    return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS)
+    """All documents in 16 shards of near equal bytes; the map is stored by the input's path in the shared folder."""
+    name = hashlib.blake2b(sf_dir.encode(), digest_size=8).hexdigest()
+    return shard_documents(read_table(spark, sf_dir, "documents"), N_SHARDS, map_path=f"{scratch_root(spark)}/shard-map-{name}")
 
 
 def op5_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

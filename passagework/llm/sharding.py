@@ -12,28 +12,30 @@ the driver is one row per virtual slot, however large the input.
 from __future__ import annotations
 
 import bisect
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from passagework.sources.scratch import save_scratch
 
-#: Fixed for the life of a data set: records never change their slot.
+#: Fixed for the life of a data set: records never change their slot, unless a slot is split (the map says which are).
 VIRTUAL_SLOTS = 4096
 #: Parts in which the rows of a slot are numbered.
 CELLS = 64
-MAP_SCHEMA = "version int, virtual_slot int, shard int"
+MAP_SCHEMA = "version int, virtual_slot int, shard int, split boolean"
 
 
 @dataclass(frozen=True)
 class SlotMap:
-    """Shard of each virtual slot in one version; ``shards[slot]``."""
+    """Shard of each virtual slot in one version, ``shards[slot]``, and the slots whose records are spread by id."""
 
     version: int
     n_shards: int
     shards: tuple[int, ...] = field(repr=False)
+    split: tuple[int, ...] = field(default=(), repr=False)
 
     @classmethod
     def initial(cls, n_shards: int, n_slots: int = VIRTUAL_SLOTS) -> SlotMap:
@@ -68,7 +70,7 @@ class SlotMap:
             at = bisect.bisect_left(slots, (gap / 2, -1))
             near = [i for i in (at - 1, at) if 0 <= i < len(slots) and slots[i][0] < gap]
             if not near:
-                return SlotMap(self.version + 1, self.n_shards, tuple(shards))
+                return SlotMap(self.version + 1, self.n_shards, tuple(shards), self.split)
             size, slot = moved = slots.pop(min(near, key=lambda i: abs(slots[i][0] - gap / 2)))
             bisect.insort(held[empty], moved)
             loads[full], loads[empty], shards[slot] = loads[full] - size, loads[empty] + size, empty
@@ -83,10 +85,10 @@ class SlotMap:
             if taken + size <= target and loads[shards[slot]] - size >= target:
                 loads[shards[slot]] -= size
                 taken, shards[slot] = taken + size, new
-        return SlotMap(self.version + 1, new + 1, tuple(shards))
+        return SlotMap(self.version + 1, new + 1, tuple(shards), self.split)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, i, s) for i, s in enumerate(self.shards)], MAP_SCHEMA)
+        return spark.createDataFrame([(self.version, i, s, i in self.split) for i, s in enumerate(self.shards)], MAP_SCHEMA)
 
 
 def save_slot_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
@@ -99,11 +101,22 @@ def load_slot_map(spark: SparkSession, path: str, version: int | None = None) ->
     table = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
-    rows = table.where(F.col("version") == version).select("virtual_slot", "shard").collect()
-    shards = dict(map(tuple, rows))
-    if not shards or sorted(shards) != list(range(len(shards))):
+    rows = table.where(F.col("version") == version).select("virtual_slot", "shard", "split").collect()
+    shards = {slot: shard for slot, shard, _ in rows}
+    if not shards or len(rows) != len(shards) or sorted(shards) != list(range(len(shards))):
         raise ValueError(f"version {version} of the slot map is missing or incomplete")
-    return SlotMap(version, max(shards.values()) + 1, tuple(shards[i] for i in range(len(shards))))
+    return SlotMap(version, max(shards.values()) + 1, tuple(shards[i] for i in range(len(shards))), tuple(sorted(slot for slot, _, cut in rows if cut)))
+
+
+def stored_slot_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The newest version at ``path``, null if nothing is stored there."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return load_slot_map(spark, path)
 
 
 def virtual_slot(key: Column, n_slots: int = VIRTUAL_SLOTS) -> Column:
@@ -122,7 +135,8 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
     than half a shard's share is split: its records are hashed by id as well, which spreads a group of copies
     that is too large for even shards.  Null and empty texts count as equal.  Repeated rows take a place each,
     an empty table gives an empty result, and extra columns are ignored.  With ``map_path`` the versions of the
-    map are stored there.
+    map are stored there with the split slots; later calls load the newest, edit it and add a version if it changed.
+    A stored map of fewer shards is grown.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -135,15 +149,25 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
         "shard-sizes",
     )
     slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
-    split = [i for i, b in enumerate(slot_bytes) if 2 * n_shards * b > sum(slot_bytes)]  # fewer than twice the shards
+    stored = stored_slot_map(spark, map_path) if map_path else None
+    if stored and (len(stored.shards) != n_slots or stored.n_shards > n_shards):
+        raise ValueError("the stored map has other slots or more shards")
+    large = {i for i, b in enumerate(slot_bytes) if 2 * n_shards * b > sum(slot_bytes)}  # fewer than twice the shards
+    split = sorted(large.union(stored.split if stored else ()))
     if split:
         spread = F.pmod(F.xxhash64("doc_id", "virtual_slot", "size"), F.lit(n_slots)).cast("int")
         narrow = narrow.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(split), spread).otherwise(F.col("virtual_slot")))
         slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
-    first = SlotMap.initial(n_shards, n_slots)
-    final = first.rebalanced(slot_bytes)
-    if map_path:
+    first = replace(stored or SlotMap.initial(n_shards, n_slots), split=tuple(split))
+    final = first
+    while final.n_shards < n_shards:
+        final = final.grown(slot_bytes)
+    final = replace(final.rebalanced(slot_bytes), version=first.version + 1)
+    if stored and (final.shards, final.split, final.n_shards) == (stored.shards, stored.split, stored.n_shards):
+        final = stored
+    if map_path and not stored:
         save_slot_map(spark, first, map_path)
+    if map_path and final is not stored:
         save_slot_map(spark, final, map_path)
     used, starts = [0] * n_shards, []
     for slot, shard in enumerate(final.shards):

@@ -187,6 +187,27 @@ def test_growing_a_slot_map(spark, tmp_path):
     assert old.rebalanced(sizes).shards == old.shards
 
 
+def test_stored_slot_map_is_edited(spark, tmp_path):
+    path = str(tmp_path / "m")
+    # one text has most of the bytes
+    docs = spark.createDataFrame([(i, "copy " * 50 if i < 300 else f"text {i} " * 5) for i in range(600)], "doc_id long, text string")
+    columns = ["doc_id", "shard", "virtual_slot", "map_version"]
+    one, two = (sorted(map(tuple, shard_documents(docs, 4, map_path=path).select(columns).collect())) for _ in range(2))
+    stored = load_slot_map(spark, path)
+    assert one == two and {r[3] for r in one} == {2} == {stored.version} and len(stored.split) == 1
+    assert all(stored.shards[slot] == shard for _, shard, slot, _ in one)
+    assert spark.read.parquet(path).count() == 2 * len(stored.shards)
+    # the copies are few among the later rows, and their slots hold
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, f"more {i} " * 40) for i in range(3000)], docs.schema))
+    slots = {r.doc_id: (r.virtual_slot, r.shard, r.map_version) for r in shard_documents(more, 4, map_path=path).collect()}
+    new = load_slot_map(spark, path)
+    assert all(slots[i][0] == slot for i, _, slot, _ in one) and new.split == stored.split
+    assert new.version == 3 and all(new.shards[slot] == shard and v == 3 for slot, shard, v in slots.values())
+    assert shard_documents(more, 5, map_path=path).select("shard").distinct().count() == 5 == load_slot_map(spark, path).n_shards
+    with pytest.raises(ValueError):
+        shard_documents(more, 4, map_path=path)
+
+
 # --- 5 media
 
 
