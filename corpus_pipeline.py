@@ -31,9 +31,22 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; five-word shingles, similarity 0.8."""
-    copies = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates; five-word shingles, similarity 0.8.
+
+    Rows with one id are one document.  Of rows without an id and with equal texts one is left, and that takes
+    part in the comparison after all rows with ids; texts without words stand alone and stay.
+    """
+    if docs.where("doc_id IS NULL").isEmpty():
+        copies = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    nameless, worded = F.col("doc_id").isNull(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
+    # keys in the order of the ids; those of texts come after them
+    by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    single = docs.where(nameless & worded).withColumn("_key", F.concat(F.lit("n"), F.sha2("text", 256))).dropDuplicates(["_key"])
+    rest = docs.where(~(nameless & worded)).withColumn("_key", by_id)
+    keyed = save_scratch(rest.unionByName(single), "pipeline-keyed")
+    copies = near_duplicates(keyed, words=5, percent=80, id_col="_key").where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(copies, "_key", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
