@@ -48,7 +48,7 @@ class PieceEncoder:
         if len(self.bytes) != 256 or any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("a merge-type model with byte fallback whose pieces don't cross spaces is needed")
         self.memo: dict[str, bytes] = {}
-        #: Words checked so far, and those for which the library had other ids (its ids are used).
+        #: Words checked so far, and those for which the library had other ids (an error).
         self.checked = self.differing = 0
         self._lead = lib.encode("\n")
         self._single = np.full(0x110000, -1, np.int32)
@@ -115,8 +115,9 @@ class PieceEncoder:
             flat = np.fromiter(chain.from_iterable(want), np.int32)
             if b"".join([out[w] for w in words]) != flat.tobytes():
                 expected = [np.array(w, np.int32).tobytes() for w in want]
-                self.differing += sum(out[w] != e for w, e in zip(words, expected, strict=True))
-                out.update(zip(words, expected, strict=True))
+                wrong = [w for w, e in zip(words, expected, strict=True) if out[w] != e]
+                self.differing += len(wrong)
+                raise ValueError(f"the library has other ids for {len(wrong)} words, such as {wrong[:1]!r:.80}")
         self.checked += len(new)
         return out
 
@@ -149,8 +150,10 @@ class PieceEncoder:
         ids = [i for c in self.chunks(text) for i in self.merge(c)]
         want = self.library.encode(text)
         self.checked += 1
-        self.differing += ids != want
-        return np.array(want, np.int32).tobytes()
+        if ids != want:
+            self.differing += 1
+            raise ValueError(f"the library has other ids for the text {text!r:.80}")
+        return np.array(ids, np.int32).tobytes()
 
 
 _CHUNK = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")

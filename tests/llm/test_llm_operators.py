@@ -528,3 +528,17 @@ def test_piece_round_trip(spark, odd):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect():
         ids = library.encode(r["text"])
         assert digests[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and digests[r["doc_id"]]["n_tokens"] == len(ids)
+
+
+def test_piece_ids_are_the_agendas_and_differing_ones_raise():
+    encoder = PieceEncoder(Q.PIECE_MODEL)
+    assert np.frombuffer(encoder.encode(["two  spaces"])[0], np.int32).tolist() == encoder.library.encode("two  spaces")
+
+    class Other:
+        def encode(self, text, **options):
+            return [[1] for _ in text] if isinstance(text, list) else [1]
+
+    encoder.library = Other()
+    for text in ("two  spaces here", "unmetword"):
+        with pytest.raises(ValueError, match="other ids"):
+            encoder.encode([text])
