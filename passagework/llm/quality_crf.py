@@ -25,8 +25,6 @@ from passagework.llm.sampling import chunked, give_back, labelled_sample
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 3000
-#: Documents with more lines than this are scored like all others but not used for the fit.
-FIT_MAX_LINES = 400
 FIT_STEPS = 150
 
 UPPER, LOWER, LETTER, DIGIT, SPACE, STOP, SYMBOL = range(7)
@@ -226,7 +224,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_fo
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"], strict=True):
-                if 0 < len(lines := lines_of(text)) <= FIT_MAX_LINES:
+                if lines := lines_of(text):
                     yield pd.DataFrame({"label": [label], "n": [len(lines)], "base": [line_features([lines]).tobytes()]})
 
     rows = sample.mapInPandas(describe, "label int, n int, base binary").collect()

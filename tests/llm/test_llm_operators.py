@@ -542,3 +542,12 @@ def test_piece_ids_are_the_agendas_and_differing_ones_raise():
     for text in ("two  spaces here", "unmetword"):
         with pytest.raises(ValueError, match="other ids"):
             encoder.encode([text])
+
+
+def test_quality_learns_from_long_documents(spark):
+    good, bad = "This is a whole sentence of plain words, and it ends here.\n", "$$ 11 %% BUY >>> 22\n"
+    docs = spark.createDataFrame([(i, (good if i % 2 else bad) * 450) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = train_quality(docs, labels, held_out=-1)
+    scores = model.score([good * 3, bad * 3])
+    assert scores[0] > 0.8 and scores[1] < 0.2
