@@ -19,13 +19,23 @@ from passagework.sources.tables import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line classifier does not reject."""
+    """Documents that the line classifier does not reject.
+
+    Each row is judged by its own text, so repeated rows and rows with equal or null ids stay or go alike.  Null,
+    empty and blank texts are judged by the labels of such texts.  Very long texts are judged whole.  An empty table
+    gives an empty one, extra columns are kept as they are, and ties of the score with the limit stay.
+    """
     model = train_quality(docs, read_table(spark, sf_dir, "labels"), held_out=HELD_OUT, n_folds=N_FOLDS)
     return docs.where(quality_score(model, F.col("text")) >= GOOD_FROM)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not toxic."""
+    """Documents that are not toxic.
+
+    Each row is judged by its own text, so repeated rows and rows with equal or null ids stay or go alike.  Texts
+    without words, null ones among them, are clean.  Very long texts are judged whole.  An empty table gives an
+    empty one, extra columns are kept as they are, and ties of the score with the limit go.
+    """
     model = train_toxicity(docs, read_table(spark, sf_dir, "labels"), held_out=HELD_OUT, n_folds=N_FOLDS)
     return docs.where(toxicity(model, F.col("text"), TOXIC_FROM)["score"] < TOXIC_FROM)
 
@@ -33,29 +43,39 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; five-word shingles, similarity 0.8.
 
-    Rows with one id are one document.  Of rows without an id and with equal texts one is left, and that takes
-    part in the comparison after all rows with ids; texts without words stand alone and stay.
+    The row with the smallest id of a group stays; rows without an id come after all others.  Of rows with equal ids
+    and equal texts one is left, and so it is of rows without an id that have equal texts.  Rows with equal ids and
+    different texts are documents of their own.  Texts without words, null ones among them, are like no other, so
+    they stay, but a repeated row with an id is left once.  Very long texts are compared whole, an empty table gives
+    an empty one, and extra columns are kept as they are.
     """
-    if docs.where("doc_id IS NULL").isEmpty():
-        copies = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
-        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    nameless, worded = F.col("doc_id").isNull(), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0d]"), F.lit(False))
-    # keys in the order of the ids; those of texts come after them
-    by_id = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
-    single = docs.where(nameless & worded).withColumn("_key", F.concat(F.lit("n"), F.sha2("text", 256))).dropDuplicates(["_key"])
-    rest = docs.where(~(nameless & worded)).withColumn("_key", by_id)
-    keyed = save_scratch(rest.unionByName(single), "pipeline-keyed")
-    copies = near_duplicates(keyed, words=5, percent=80, id_col="_key").where("NOT kept").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(copies, "_key", "left_anti").select(*docs.columns)
+    text = F.coalesce("text", F.lit(""))
+    digest = F.unhex(F.sha2(text, 256))
+    # a byte that puts rows without an id last, the id in the order of its value, and what tells its texts apart
+    order = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
+    named = F.concat(F.unhex(F.lit("00")), order, F.substring(digest, 1, 8))
+    nameless = F.when(text.rlike(r"[^\x20\x09-\x0d]"), F.concat(F.unhex(F.lit("01")), digest))
+    keyed = docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), named).otherwise(nameless))
+    copies = near_duplicates(keyed, words=5, percent=80, id_col=KEY).where("NOT kept").select(F.col("doc_id").alias(KEY)).distinct()
+    left = keyed.join(save_scratch(copies, "pipeline-copies"), KEY, "left_anti")
+    repeated = save_scratch(keyed.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(KEY), "pipeline-repeated")
+    if not repeated.isEmpty():
+        left = left.join(repeated, KEY, "left_anti").unionByName(left.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
+    return left.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, each with its sequence and offset."""
-    return pack_documents(docs, WORD_TOKENIZER, memo_words=PACKING_MEMO)
+    """Token pieces of what is left, each with its sequence and offset.
+
+    Null and empty texts are a piece of the end token alone, and a very long text is cut into full sequences.
+    Repeated rows and rows with equal or null ids are packed each.  Ties of length are dealt by id.  An empty table
+    gives no pieces, and extra columns are left out.
+    """
+    return pack_documents(docs, WORD_TOKENIZER)
 
 
-#: Words that a worker remembers for packing: fewer than alone, since the workers have served the other stages too.
-PACKING_MEMO = 250_000
+#: Column that tells rows apart within the near-duplicate stage.
+KEY = "_document_key"
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("packing", packed)]
 
