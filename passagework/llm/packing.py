@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from passagework.llm.sampling import chunked, give_back
-from passagework.llm.word_tokens import MEMO_WORDS, word_tokens_for
+from passagework.llm.word_tokens import SEGMENT, word_tokens_for
 from passagework.sources.scratch import save_scratch
 
 CAPACITY = 4096
@@ -175,26 +175,26 @@ class Placement:
         return pd.DataFrame({"sequence_id": self.sequences[at] + (key - self.keys[at]), "offset": self.offsets[at]})
 
 
-def token_bytes(tokenizer_file: str, text: Column, memo_words: int = MEMO_WORDS) -> Column:
+def token_bytes(tokenizer_file: str, text: Column) -> Column:
     """Ids of whole texts as little-endian 32-bit numbers; a null text is taken as empty."""
 
     @F.arrow_udf(T.BinaryType())
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = word_tokens_for(tokenizer_file, memo_words)
+        words = word_tokens_for(tokenizer_file)
         for batch in batches:
-            yield pa.array([b for run in chunked(batch.to_pylist(), 500_000) for b in words.encode(run)], pa.binary())
+            yield pa.array([b for run in chunked(batch.to_pylist(), SEGMENT) for b in words.encode(run)], pa.binary())
         give_back()
 
     return encode(text)
 
 
-def token_pieces(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_file: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, piece, start, length, ids`` of all documents: the ids and ``end_id``, cut at every ``capacity`` ids.
 
     ``ids`` are little-endian 32-bit numbers.  Only documents of more than ``capacity`` ids have several pieces.
     """
     end = F.unhex(F.lit(end_id.to_bytes(4, "little").hex()))
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.concat(token_bytes(tokenizer_file, F.col(text_col), memo_words), end).alias("all"))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.concat(token_bytes(tokenizer_file, F.col(text_col)), end).alias("all"))
     n = (F.octet_length("all") / 4).cast("long")
     cut = whole.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / capacity).cast("int"))))
     start = F.col("piece").cast("long") * capacity
@@ -225,13 +225,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return placed.select(*pieces.columns, "at.sequence_id", "at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, *, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``, one row per piece.
 
     Null and empty texts are one piece of the end id alone.  Rows with equal or null ids are packed each.
-    Extra columns are ignored; an empty table gives no sequences.  ``memo_words`` bounds what a worker remembers.
+    Extra columns are ignored; an empty table gives no sequences.
     """
-    pieces = token_pieces(docs, tokenizer_file, id_col=id_col, text_col=text_col, capacity=capacity, memo_words=memo_words)
+    pieces = token_pieces(docs, tokenizer_file, id_col=id_col, text_col=text_col, capacity=capacity)
     narrow = save_scratch(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pack-pieces")
     return pack_pieces(narrow, capacity)
 

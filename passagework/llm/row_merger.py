@@ -12,7 +12,9 @@ from itertools import pairwise
 
 import numpy as np
 
-_NONE = np.iinfo(np.int32).max
+_PLACE_BITS = 22
+_NONE = (1 << _PLACE_BITS) - 1
+_EMPTY = np.iinfo(np.int64).min
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -27,34 +29,35 @@ class RowMerger:
         left, right, merged, place = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         self._merged = np.zeros(int(place.max()) + 1, np.int32)
         self._merged[place] = merged
-        self._slots = np.full(1 << max(10, (4 * len(left)).bit_length()), -1, np.int64)
-        self._places = np.full(len(self._slots), _NONE, np.int32)
+        # a slot holds a pair and its place in one number
+        self._slots = np.full(1 << max(10, (8 * len(left)).bit_length()), _EMPTY, np.int64)
         keys, last = left << 20 | right, len(self._slots) - 1
         at = self._slot(keys)
         while len(keys):  # a pair whose slot is taken goes to the next one
-            free = self._slots[at] < 0
-            self._slots[at[free]] = keys[free]
-            held = self._slots[at] == keys
-            self._places[at[held]] = place[held]
+            free = self._slots[at] == _EMPTY
+            self._slots[at[free]] = keys[free] << _PLACE_BITS | place[free]
+            held = self._slots[at] >> _PLACE_BITS == keys
             keys, place, at = keys[~held], place[~held], at[~held] + 1 & last
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
-        return (key.astype(np.uint64) * _ODD >> np.uint64(65 - len(self._slots).bit_length())).astype(np.int64)
+        return (key.view(np.uint64) * _ODD >> np.uint64(65 - len(self._slots).bit_length())).view(np.int64)
 
     def _place(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Place of the piece that two symbols form, or _NONE."""
-        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, -2).ravel()
+        """Place of the piece that two symbols form, or _NONE; a negative symbol makes the key negative, which no slot holds."""
+        key = (left.astype(np.int64) << 20 | right).ravel()
         at = self._slot(key)
         found = self._slots[at]
-        out = np.where(found == key, self._places[at], _NONE).astype(np.int32)
-        rest = np.flatnonzero((found != key) & (found >= 0))
+        differs = found >> _PLACE_BITS != key
+        out = (found & _NONE).astype(np.int32)
+        out[differs] = _NONE
+        rest = np.flatnonzero(differs & (found != _EMPTY))
         at = at[rest]
         while len(rest):
             at = at + 1 & len(self._slots) - 1
             found = self._slots[at]
-            hit = found == key[rest]
-            out[rest[hit]] = self._places[at[hit]]
-            more = ~hit & (found >= 0)
+            hit = found >> _PLACE_BITS == key[rest]
+            out[rest[hit]] = found[hit] & _NONE
+            more = ~hit & (found != _EMPTY)
             rest, at = rest[more], at[more]
         return out.reshape(left.shape)
 

@@ -6,22 +6,58 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from passagework.llm.row_merger import RowMerger
+from passagework.llm.word_runs import coded, distinct_runs
 
-#: Words that a worker remembers (about 200 bytes each), and the longest that it does.
-MEMO_WORDS, MEMO_LENGTH = 450_000, 48
+#: Words that a worker remembers (about 200 bytes each, so 60 MB), and the longest that it does.
+MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+#: Characters of a text that are cut into words at once; a longer text is cut at white space.
+SEGMENT = 1_500_000
 
 # Letters below U+0180; none of these characters changes under NFC, and lower() treats them one by one.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)] if c not in (0x130, 0x149, 0xAD)]
 _LETTERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
 _OTHER_THAN_PLAIN = re.compile("[^" + re.escape("".join(_PLAIN)) + "]")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
+_SPACE = re.compile(r"[\t\n\r ]")
+_BLANK, _LETTER, _NUMBER, _SIGN = range(4)
+_KINDS = np.full(0x180, _SIGN, np.uint8)
+for _kind, _characters in ((_BLANK, "\t\n\r "), (_LETTER, _LETTERS), (_NUMBER, _NUMBERS)):
+    _KINDS[[ord(c) for c in _characters]] = _kind
+_CODED = coded(len(_KINDS), 7)
+# What the tokenizer's rule cuts off after an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def word_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end in lower-cased plain characters.
+
+    A word is a run of letters, one number, a run of other signs, or an apostrophe that starts such a run with
+    one of the endings above.
+    """
+    kinds = _KINDS[codes]
+    starts = kinds != _BLANK
+    starts[1:] &= (kinds[1:] != kinds[:-1]) | (kinds[1:] == _NUMBER)
+    quotes = np.flatnonzero(starts & (codes == ord("'")))
+    padded = np.concatenate((codes[: len(codes)], np.zeros(3, codes.dtype)))
+    for ending in ENDINGS:
+        held = np.ones(len(quotes), bool)
+        for k, letter in enumerate(ending, 1):
+            held &= padded[quotes + k] == ord(letter)
+        at = quotes[held] + 1
+        starts[at] = False
+        after = at + len(ending)
+        after = after[after < len(codes)]
+        starts[after[kinds[after] != _BLANK]] = True
+    stops = kinds != _BLANK
+    stops[:-1] &= starts[1:] | (kinds[1:] == _BLANK)
+    return np.flatnonzero(starts), np.flatnonzero(stops) + 1
 
 
 def _byte_letters() -> list[str]:
@@ -38,7 +74,7 @@ class WordTokens:
     distinct word is encoded once.  All other texts go through the library whole.
     """
 
-    def __init__(self, tokenizer_file: str, memo_words: int = MEMO_WORDS) -> None:
+    def __init__(self, tokenizer_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(tokenizer_file)
         model = json.loads(self.library.to_str())["model"]
@@ -48,7 +84,6 @@ class WordTokens:
         # bytes as symbols, within a word and at its end
         self.inner, self.last = (np.array([vocabulary.get(c + end, -1) for c in _byte_letters()], np.int32) for end in ("", "</w>"))
         self.memo: dict[str, bytes] = {}
-        self.memo_words = memo_words
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,24 +102,70 @@ class WordTokens:
         return {w: self.whole(w) if ids is None else ids for w, ids in zip(words, got, strict=True)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [not ("<|" in t or _OTHER_THAN_PLAIN.search(t)) for t in texts]
+        cut = iter(self._plain([t for t, ok in zip(texts, plain, strict=True) if ok]))
+        return [next(cut) if ok else self.whole(t) for t, ok in zip(texts, plain, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of plain characters."""
+        out, run, held = [], [], 0
+        for text in texts:
+            if len(text) > SEGMENT:
+                out += self._segments(run) + [b"".join(b for s in segments(text) for b in self._segments([s]))]
+                run, held = [], 0
+                continue
+            if held + len(text) > SEGMENT:
+                out += self._segments(run)
+                run, held = [], 0
+            run.append(text)
+            held += len(text)
+        return out + self._segments(run)
+
+    def _segments(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the distinct words of all of them are looked up or learned once."""
+        if not texts:
+            return []
+        joined = "\n".join(texts).lower()
+        codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
+        starts, ends = word_bounds(codes)
+        first, of = distinct_runs(codes, _CODED, starts, ends)
+        words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        ids = self._known(words)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[of]
+        upto = np.concatenate(([0], np.cumsum(each)))
+        data = flat[np.repeat(at[of] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+        # the words of a text are those that start before its end
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        cuts = (4 * upto[np.searchsorted(starts, text_ends)]).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
         memo = self.memo
-        if len(memo) > self.memo_words:
-            for word in list(islice(memo, self.memo_words // 2)):  # the older half; common words come back at once
+        if len(memo) > MEMO_WORDS:
+            for word in list(islice(memo, MEMO_WORDS // 2)):  # the older half; common words come back at once
                 del memo[word]
-        cut = [None if "<|" in t or _OTHER_THAN_PLAIN.search(t) else _WORD.findall(t.lower()) for t in texts]
-        new = self.learn(list(set().union(*(c for c in cut if c)) - memo.keys()))
-        memo.update(new)
-        out = [self.whole(t) if words is None else b"".join([memo[w] for w in words]) for t, words in zip(texts, cut, strict=True)]
-        for word in new:
-            if len(word) > MEMO_LENGTH:
-                del memo[word]
-        return out
+        ids = list(map(memo.get, words))
+        new = self.learn([w for w, i in zip(words, ids, strict=True) if i is None])
+        memo.update(new if not new or max(map(len, new)) <= MEMO_LENGTH else {w: i for w, i in new.items() if len(w) <= MEMO_LENGTH})
+        return [new[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+
+
+def segments(text: str) -> Iterator[str]:
+    """Parts of a long text, cut at white space."""
+    at = 0
+    while found := _SPACE.search(text, at + SEGMENT):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 _made: dict[str, WordTokens] = {}
 
 
-def word_tokens_for(tokenizer_file: str, memo_words: int = MEMO_WORDS) -> WordTokens:
+def word_tokens_for(tokenizer_file: str) -> WordTokens:
     if tokenizer_file not in _made:
-        _made[tokenizer_file] = WordTokens(tokenizer_file, memo_words)
+        _made[tokenizer_file] = WordTokens(tokenizer_file)
     return _made[tokenizer_file]
