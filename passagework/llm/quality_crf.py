@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passagework.llm.sampling import chunked, give_back, labelled_sample
+from passagework.llm.sampling import allowed_labels, chunked, give_back, labelled_sample
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 3000
 FIT_STEPS = 150
 
-UPPER, LOWER, LETTER, DIGIT, SPACE, STOP, SYMBOL = range(7)
+UPPER, LOWER, LETTER, DIGIT, SPACE, STOP, SYMBOL, MARK = range(8)
 BASE = ("length", "letters", "upper", "digits", "symbols", "words", "word_length", "distinct", "repeats", "seen", "ends", "shouts", "marked", "stutters")
 #: Columns of BASE that the neighbours of a line lend it.
 LENT = tuple(BASE.index(x) for x in ("upper", "symbols", "distinct", "repeats", "seen", "shouts", "marked", "stutters"))
@@ -46,7 +46,7 @@ def _character_classes() -> np.ndarray:
             if kind[0] == "L":
                 table[code] = {"Lu": UPPER, "Lt": UPPER, "Ll": LOWER}.get(kind, LETTER)
             elif kind[0] in "NMZC":
-                table[code] = {"N": DIGIT, "M": LETTER}.get(kind[0], SPACE)
+                table[code] = {"N": DIGIT, "M": MARK}.get(kind[0], SPACE)
         table[[ord(c) for c in ".,;:?'\"()-"]] = STOP
         _classes = table
     return _classes
@@ -66,9 +66,9 @@ def line_features(documents: list[list[str]]) -> np.ndarray:
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds = _character_classes()[codes]
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    count = [np.add.reduceat((kinds == k).view(np.uint8), starts, dtype=np.int64) for k in range(7)]
+    count = [np.add.reduceat((kinds == k).view(np.uint8), starts, dtype=np.int64) for k in range(8)]
     out = np.empty((len(lines), len(BASE)), np.float32)
-    letters = count[UPPER] + count[LOWER] + count[LETTER]
+    letters = count[UPPER] + count[LOWER] + count[LETTER] + count[MARK]
     out[:, 0] = np.log1p(lengths) / 6
     out[:, 1] = letters / lengths
     out[:, 2] = count[UPPER] / np.maximum(1, letters)
@@ -118,12 +118,15 @@ def with_neighbours(base: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LineCrf:
-    """Weights of the state good (those of bad are zero), start and transition scores by state (bad, good)."""
+    """Weights of the state good (those of bad are zero), start and transition scores by state (bad, good).
+
+    ``blank`` is the quality of a text without lines.
+    """
 
     weights: np.ndarray
     start: np.ndarray
     transitions: np.ndarray
-    prior: float
+    blank: float
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
         scores = np.zeros((len(features), 2))
@@ -163,10 +166,10 @@ class LineCrf:
         return np.exp(f[:, 1] + b[:, 1] - np.repeat(z, lengths))
 
     def score(self, texts: list[str]) -> np.ndarray:
-        """Quality of each whole text, 0 to 1; a text without lines gets the share of good documents in the fit."""
+        """Quality of each whole text, 0 to 1; a text without lines gets what the labels of such texts say."""
         documents = [lines_of(t) for t in texts]
         lengths = np.fromiter(map(len, documents), np.int64, len(documents))
-        out = np.full(len(texts), self.prior)
+        out = np.full(len(texts), self.blank)
         full = lengths > 0
         if full.any():
             sizes = np.fromiter((len(line) for d in documents for line in d), np.float64, int(lengths.sum()))
@@ -179,12 +182,12 @@ class LineCrf:
 def fit_line_crf(base: np.ndarray, lengths: np.ndarray, labels: np.ndarray, *, steps: int = FIT_STEPS, rate: float = 0.1, penalty: float = 1e-3) -> LineCrf:
     """Maximum likelihood by gradient steps with adaptive rates; each class weighs the same, each document alike in it.
 
-    Without documents of both classes every line is as good as the share of good documents.
+    Without documents of both classes every line is of the one class, or as likely good as bad.
     """
-    prior = float(labels.mean()) if len(labels) else 0.5
-    crf = LineCrf(np.zeros(N_FEATURES), np.zeros(2), np.zeros((2, 2)), prior)
-    if not len(labels) or not 0 < prior < 1:
-        crf.weights[0] = 20 * (prior - 0.5)
+    share = float(labels.mean()) if len(labels) else 0.5
+    crf = LineCrf(np.zeros(N_FEATURES), np.zeros(2), np.zeros((2, 2)), share)
+    if not len(labels) or not 0 < share < 1:
+        crf.weights[0] = 20 * (share - 0.5)
         return crf
     features = with_neighbours(base, lengths).astype(np.float64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
@@ -217,24 +220,40 @@ def fit_line_crf(base: np.ndarray, lengths: np.ndarray, labels: np.ndarray, *, s
 def train_quality(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_folds: int = 5, per_class: int = FIT_PER_CLASS) -> LineCrf:
     """Fit on at most ``per_class`` labelled documents of either class outside the held-out fold.
 
-    Executors compute the line features; the numbers of the bounded sample come to the driver.
+    Executors compute the line features; the numbers of the bounded sample come to the driver.  A text without
+    lines has no features; its quality is learned from all allowed labels (see ``blank_quality``).
     """
     sample = labelled_sample(docs, labels, "quality", per_class=per_class, held_out=held_out, n_folds=n_folds)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                if lines := lines_of(text):
-                    yield pd.DataFrame({"label": [label], "n": [len(lines)], "base": [line_features([lines]).tobytes()]})
+            held = [(label, lines) for text, label in zip(batch["text"], batch["label"], strict=True) if (lines := lines_of(text))]
+            yield pd.DataFrame([(label, len(lines), line_features([lines]).tobytes()) for label, lines in held], columns=["label", "n", "base"])
 
     rows = sample.mapInPandas(describe, "label int, n int, base binary").collect()
     rows.sort(key=lambda r: (r["label"], r["n"], bytes(r["base"])))
     base = np.frombuffer(b"".join(r["base"] for r in rows), np.float32).reshape(-1, len(BASE))
-    return fit_line_crf(base, np.array([r["n"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64))
+    crf = fit_line_crf(base, np.array([r["n"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64))
+    crf.blank = blank_quality(docs, allowed_labels(labels, "quality", held_out=held_out, n_folds=n_folds))
+    return crf
+
+
+def blank_quality(docs: DataFrame, labels: DataFrame) -> float:
+    """Share of good ones among the labelled documents without lines, drawn to that among all by one document's weight.
+
+    ``labels`` has ``doc_id, label``; all of them count.  Without labels it is one half.  Only ids of blank
+    documents are shuffled, and one row of counts comes to the driver.
+    """
+    blank = docs.where(F.col("doc_id").isNotNull() & F.coalesce(~F.col("text").rlike(r"(?U)\S"), F.lit(True))).select("doc_id").distinct()
+    of_blank = labels.join(blank, "doc_id", "left_semi")
+    sums = [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("good")]
+    every, those = labels.agg(*sums).first(), of_blank.agg(*sums).first()
+    share = every["good"] / every["n"] if every["n"] else 0.5
+    return float((those["good"] + share) / (those["n"] + 1))
 
 
 def quality_score(model: LineCrf, text: Column) -> Column:
-    """Quality of whole texts; null and empty texts get the prior."""
+    """Quality of whole texts; null, empty and blank texts get ``model.blank``."""
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,28 +6,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.sources.scratch import save_scratch
+
 
 def fold(doc_id: Column, n_folds: int) -> Column:
     """crc32 of the id written as text, modulo ``n_folds``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n_folds
 
 
+def allowed_labels(labels: DataFrame, label: str, *, held_out: int, n_folds: int) -> DataFrame:
+    """``doc_id, label`` of all documents outside the fold ``held_out``.
+
+    Labels and ids that are null are skipped; of several labels of one document the mean decides, and one exactly
+    between is skipped.
+    """
+    mean = F.avg(label).alias("mean")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out))
+    return known.groupBy("doc_id").agg(mean).where(F.col("mean") != 0.5).select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class: int, held_out: int, n_folds: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``per_class`` labelled documents of either class.
+    """``doc_id, text, label`` of at most ``per_class`` labelled documents of either class, as a written table.
 
-    Documents of the fold ``held_out`` are never taken.  The documents with the smallest id hashes are taken,
-    so the sample doesn't depend on partitioning.  Labels that are null are skipped; of several labels of one
-    document the mean decides, and one exactly between is skipped.  The ids of the sample (at most twice
-    ``per_class``) are what is sent to the scan of the texts.
+    Of the labels that ``allowed_labels`` gives those with the smallest id hashes are taken, so the sample doesn't
+    depend on partitioning.  Their ids (at most twice ``per_class``) are what is sent to the scan of the texts.
+    Of rows with one id the smallest text that isn't null counts, so the sample stays bounded; a document
+    whose texts are all null has an empty text.
     """
-    marked = (
-        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out))
-        .groupBy("doc_id").agg(F.avg(label).alias("mean")).where(F.col("mean") != 0.5)
-        .select("doc_id", (F.col("mean") > 0.5).cast("int").alias("label"), F.xxhash64("doc_id").alias("order"))
-    )
+    marked = allowed_labels(labels, label, held_out=held_out, n_folds=n_folds).withColumn("order", F.xxhash64("doc_id"))
     one = [marked.where(F.col("label") == c).orderBy("order", "doc_id").limit(per_class) for c in (0, 1)]
-    ids = one[0].unionByName(one[1]).select("doc_id", "label")
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    ids = save_scratch(one[0].unionByName(one[1]).select("doc_id", "label"), "sample-ids")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return save_scratch(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label"), "sample")
 
 
 def give_back() -> None:
