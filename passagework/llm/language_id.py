@@ -20,16 +20,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from passagework.llm.quality_crf import LETTER, LOWER, UPPER, _character_classes
-from passagework.llm.sampling import chunked, fold
+from passagework.llm.quality_crf import LETTER, LOWER, MARK, UPPER, _character_classes
+from passagework.llm.sampling import chunked, fold, give_back
+from passagework.sources.scratch import save_scratch
 
 #: Documents of each language that the fit takes, in expectation, where there are more.
 FIT_PER_LANGUAGE = 4000
 #: An n-gram is put into a language's filter if this share of the language's documents holds it,
 #: and at least this share of the language that holds it most often.
 MIN_SHARE, OF_LARGEST = 0.004, 0.35
-#: N-grams that the filters hold at most, the most frequent ones.
-MAX_NGRAMS = 200_000
+#: N-grams that the filters hold at most for each language, the most frequent ones.
+NGRAMS_PER_LANGUAGE = 12_000
+#: An n-gram needs two documents, or this share of a language of few documents.
+FEW = 0.05
 SLOTS_PER_NGRAM, N_HASHES = 16, 3
 MAX_LANGUAGES = 64
 UNKNOWN = "und"
@@ -37,20 +40,24 @@ SIZES = (3, 4)
 #: Distinct n-grams that a task counts before it hands them on.
 FLUSH = 500_000
 
+#: Parts into which id hashes are dealt when documents are drawn.
+_PARTS = 1 << 50
+
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
-def letters_and_spaces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased code points of all texts with a space for whatever is no letter, and where each text starts.
+def letters_and_spaces(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased code points of all texts with a space for whatever is no letter, which are letters, and where each text starts.
 
-    Each text has a space before and after it.
+    Each text has a space before and after it.  Combining marks stay with the letters, but are none.
     """
     low = [t.lower() for t in texts]
     codes = np.frombuffer((" " + "  ".join(low) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     kinds = _character_classes()[codes]
-    codes = np.where((kinds == UPPER) | (kinds == LOWER) | (kinds == LETTER), codes, 32)
+    letters = (kinds == UPPER) | (kinds == LOWER) | (kinds == LETTER)
+    codes = np.where(letters | (kinds == MARK), codes, 32)
     sizes = np.fromiter(map(len, low), np.int64, len(low)) + 2
-    return codes, np.cumsum(sizes) - sizes
+    return codes, letters, np.cumsum(sizes) - sizes
 
 
 def ngram_keys(codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,7 +109,7 @@ class LanguageFilter:
         return found
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        codes, starts = letters_and_spaces(texts)
+        codes, is_letter, starts = letters_and_spaces(texts)
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
         for at, keys in ngram_keys(codes):
             masks = np.zeros(len(codes) + 1, self.slots.dtype)
@@ -114,17 +121,17 @@ class LanguageFilter:
                 hits[:, i] += np.add.reduceat((masks[:-1] >> self.slots.dtype.type(i) & self.slots.dtype.type(1)).astype(np.uint8), starts, dtype=np.int64)
         wrong = self.false_positives
         share = np.clip((hits - total[:, None] * wrong) / np.maximum(1, total)[:, None] / (1 - wrong), 0, 1)
-        letters = np.add.reduceat((codes != 32).view(np.uint8), starts, dtype=np.int64) > 0
+        letters = np.add.reduceat(is_letter.view(np.uint8), starts, dtype=np.int64) > 0
         best = share.argmax(1)
         return [self.languages[b] if x else UNKNOWN for b, x in zip(best, letters, strict=True)], np.where(letters, share[np.arange(len(texts)), best], 0.0)
 
 
-def train_language_id(docs: DataFrame, *, n_folds: int = 4, held_out: int = 2, per_language: int = FIT_PER_LANGUAGE) -> LanguageFilter:
+def train_language_id(docs: DataFrame, *, n_folds: int = 4, held_out: int = 2, per_language: int = FIT_PER_LANGUAGE, ngrams_per_language: int = NGRAMS_PER_LANGUAGE) -> LanguageFilter:
     """Filters of all languages of the rows outside the held-out fold that have a text and a language.
 
     Of each language the documents with small id hashes are taken, ``per_language`` of them in expectation.
-    Spark counts the documents of each n-gram by language; the chosen n-grams (``MAX_NGRAMS`` at most) come to
-    the driver.  More than ``MAX_LANGUAGES`` languages are an error.
+    Spark counts the documents of each n-gram by language; the chosen n-grams (``ngrams_per_language`` times the
+    languages at most) come to the driver.  More than ``MAX_LANGUAGES`` languages are an error.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), n_folds) != held_out)).select("doc_id", "text", "lang")
     sizes = dict(map(tuple, known.groupBy("lang").agg(F.count(F.lit(1))).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()))
@@ -133,8 +140,8 @@ def train_language_id(docs: DataFrame, *, n_folds: int = 4, held_out: int = 2, p
     languages = sorted(sizes)
     if not languages:
         return LanguageFilter.build([UNKNOWN], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, per_language / n))))))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("text", "lang")
+    share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(int(_PARTS * min(1.0, per_language / n))).cast("long"))))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS).cast("long")) < share[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
@@ -146,7 +153,7 @@ def train_language_id(docs: DataFrame, *, n_folds: int = 4, held_out: int = 2, p
 
         for batch in batches:
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                codes, _ = letters_and_spaces([text])
+                codes, _, _ = letters_and_spaces([text])
                 for _, keys in ngram_keys(codes):
                     held.update((k, lang) for k in np.unique(keys).view(np.int64).tolist())
                 held[0, lang] += 1  # documents of the language in the sample
@@ -154,18 +161,18 @@ def train_language_id(docs: DataFrame, *, n_folds: int = 4, held_out: int = 2, p
                     yield flushed()
         yield flushed()
 
-    counts = sample.mapInPandas(count, "key long, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n")).persist()
+    counts = save_scratch(sample.mapInPandas(count, "key long, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n")), "language-counts")
     taken = dict(map(tuple, counts.where("key = 0").select("lang", "n").collect()))
     bit = F.create_map(*(x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(np.uint64(1 << i).view(np.int64).item()).cast("long"))))
     of = F.create_map(*(x for lang, n in taken.items() for x in (F.lit(lang), F.lit(float(n))))) if taken else F.create_map(F.lit(""), F.lit(1.0))
-    part = F.col("n") / of[F.col("lang")]
+    docs_of = of[F.col("lang")]
+    part, enough = F.col("n") / docs_of, F.col("n") >= F.least(F.lit(2.0), F.ceil(docs_of * FEW))
     chosen = (
-        counts.where("key <> 0 AND n > 1").withColumn("part", part).where(F.col("part") >= MIN_SHARE)
+        counts.where((F.col("key") != 0) & enough).withColumn("part", part).where(F.col("part") >= MIN_SHARE)
         .withColumn("largest", F.max("part").over(W.partitionBy("key"))).where(F.col("part") >= OF_LARGEST * F.col("largest"))
         .groupBy("key").agg(F.bit_or(bit[F.col("lang")]).alias("mask"), F.max("part").alias("part"))
-        .orderBy(F.desc("part"), "key").limit(MAX_NGRAMS).select("key", "mask").toPandas()
+        .orderBy(F.desc("part"), "key").limit(ngrams_per_language * len(languages)).select("key", "mask").toPandas()
     )
-    counts.unpersist()
     return LanguageFilter.build(languages, chosen["key"].to_numpy(np.int64).view(np.uint64), chosen["mask"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -184,5 +191,6 @@ def predict_language(model: LanguageFilter, text: Column) -> Column:
                 lang += a
                 score.append(b)
             yield pd.DataFrame({"lang": lang, "score": np.concatenate(score)})
+        give_back()
 
     return predict(text)
