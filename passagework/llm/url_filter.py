@@ -55,7 +55,7 @@ class UrlRule:
     @property
     def pattern(self) -> str:
         """Java expression over host and path written together; the host holds no slash."""
-        return r"^(?:[^/]*\.)?" + _quoted(self.host) + (_quoted(self.path) if self.path else "(?=/|$)")
+        return r"^(?:[^/]*\.)?" + _quoted(self.host) + (_quoted(self.path) if self.path else r"(?=/|\z)")
 
     @property
     def tokens(self) -> list[str]:
