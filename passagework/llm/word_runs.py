@@ -30,22 +30,28 @@ def coded(n_codes: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, _MASK, (2, n_codes), np.uint64, endpoint=True)
 
 
-def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each run of ``values``; equal runs have equal hashes wherever they stand."""
-    power, inverse = _power_tables(len(values))
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * power[: len(values)], out=total[1:])
-    return (total[ends] - total[starts]) * inverse[starts]
-
-
-def distinct_runs(codes: np.ndarray, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For all runs: the first run equal to each distinct one, in order, and which distinct one each run is."""
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first_hash, second_hash = (run_hashes(n[codes], starts, ends) for n in numbers)
-    of = pa.array(first_hash).dictionary_encode().indices.to_numpy()
-    so_far = np.maximum.accumulate(of)
-    first = np.flatnonzero(np.concatenate(([True], of[1:] > so_far[:-1])))
-    if (second_hash[first][of] != second_hash).any():  # two words with one first hash
-        _, first, of = np.unique(np.stack([first_hash, second_hash], 1), axis=0, return_index=True, return_inverse=True)
-    return first, of
+class Runs:
+    """Hashes of runs of one array of characters; ``values`` are the two numbers of each character."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        n = values.shape[1]
+        power, self._inverse = _power_tables(n)
+        self._totals = np.zeros((2, n + 1), np.uint64)
+        np.cumsum(values * power[:n], axis=1, out=self._totals[:, 1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of each run; equal runs have equal hashes wherever they stand."""
+        total = self._totals[which]
+        return (total[ends] - total[starts]) * self._inverse[starts]
+
+    def distinct(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For all runs: the first run equal to each distinct one, in order, and which distinct one each run is."""
+        if not len(starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        one, two = (self.hashes(starts, ends, k) for k in (0, 1))
+        of = pa.array(one).dictionary_encode().indices.to_numpy()
+        so_far = np.maximum.accumulate(of)
+        first = np.flatnonzero(np.concatenate(([True], of[1:] > so_far[:-1])))
+        if (two[first][of] != two).any():  # two words with one first hash
+            _, first, of = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+        return first, of

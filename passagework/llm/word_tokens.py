@@ -13,12 +13,12 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from passagework.llm.row_merger import RowMerger
-from passagework.llm.word_runs import coded, distinct_runs
+from passagework.llm.word_runs import Runs, coded
 
 #: Words that a worker remembers (about 200 bytes each, so 60 MB), and the longest that it does.
 MEMO_WORDS, MEMO_LENGTH = 300_000, 48
 #: Characters of a text that are cut into words at once; a longer text is cut at white space.
-SEGMENT = 1_500_000
+SEGMENT = 1_000_000
 
 # Letters below U+0180; none of these characters changes under NFC, and lower() treats them one by one.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)] if c not in (0x130, 0x149, 0xAD)]
@@ -128,7 +128,7 @@ class WordTokens:
         joined = "\n".join(texts).lower()
         codes = np.frombuffer(joined.encode("utf-16-le"), np.uint16)
         starts, ends = word_bounds(codes)
-        first, of = distinct_runs(codes, _CODED, starts, ends)
+        first, of = Runs(np.take(_CODED, codes, axis=1)).distinct(starts, ends)
         words = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         ids = self._known(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
