@@ -21,19 +21,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.sampling import give_back, labelled_sample
+from passagework.llm.word_runs import Runs
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 4000
-#: The fit keeps features whose relation to the label has at least this chi-square (chance: 8 in a million),
-#: and of those the strongest.
-MIN_CHI_SQUARE = 20.0
+#: The fit keeps features whose relation to the label has at least this chi-square (chance: 8 in a million), or this
+#: share of the number of documents where that is smaller; chi-square can't exceed that number.
+MIN_CHI_SQUARE, OF_DOCUMENTS = 20.0, 0.4
+#: Features that the fit takes at most, the strongest ones.
 MAX_FEATURES = 4000
 FIT_STEPS = 500
 PREFIXES = (4, 5)
-#: Words whose weight a worker remembers.
-MEMO_WORDS = 150_000
+#: Characters of a text that are scored at once; a longer text is cut after a sentence.
+SEGMENT = 1_000_000
+#: Sentences of a lower score add nothing (2 in a billion).
+LEAST_SCORE = -20.0
 
 _SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
+_SENTENCE_END = re.compile(r"[.!?]+|\n")
 _WORD = re.compile(r"[^\W\d_]+")
 
 SCORE_TYPE = "score double, spans array<struct<start:int,end:int,score:double>>"
@@ -53,37 +58,141 @@ def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
 
 @dataclass
 class ToxicityModel:
+    """``weights`` of words and, with a hyphen at the end, of beginnings; ``prior`` is the share of toxic documents in the fit."""
+
     bias: float
     weights: dict[str, float]
     prior: float
 
-    def word_weight(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in word_features(word))
-
 
-class _Memo(dict):
-    """Weight of a word, worked out once."""
+class SentenceScorer:
+    """Scores of all sentences of many texts by array operations; made once per task from a model."""
 
     def __init__(self, model: ToxicityModel) -> None:
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        weight = self[word] = self.model.word_weight(word)
-        return weight
-
-
-def score_text(model: ToxicityModel, memo: dict[str, float], text: str | None, at_least: float) -> tuple[float, list[dict]]:
-    """Noisy-or of all sentences, and the spans of those that score ``at_least``; a text without words is clean."""
-    clean, spans = 0.0, []
-    for start, end, words in sentence_words(text or ""):
-        z = model.bias + sum(map(memo.__getitem__, words))
-        clean -= np.logaddexp(0.0, z) if z > -20 else 0.0
-        if z > -20 and (p := float(1 / (1 + np.exp(-z)))) >= at_least:
-            spans.append({"start": start, "end": end, "score": p})
-    return float(-np.expm1(clean)), spans
+        self.bias = model.bias
+        whole = {f: w for f, w in model.weights.items() if f[-1] != "-"}
+        tables = [whole] + [{f[:-1]: w for f, w in model.weights.items() if f[-1] == "-" and len(f) == n + 1} for n in PREFIXES]
+        self._tables = [self._table(t) for t in tables]
+
+    @staticmethod
+    def _table(weights: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes and the weight of each feature, by the first hash."""
+        words = list(weights)
+        codes = _codes("".join(words))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        starts = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if words else ends
+        runs = Runs(_numbers(codes))
+        one, two = (runs.hashes(starts, ends, k) for k in (0, 1))
+        order = np.argsort(one)
+        return one[order], two[order], np.fromiter(weights.values(), np.float64, len(words))[order]
+
+    def _weights(self, runs: Runs, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Weight of each word: that of the whole word and of its beginnings."""
+        out = np.zeros(len(starts))
+        for (one, two, weight), n in zip(self._tables, (None, *PREFIXES), strict=True):
+            able = np.arange(len(starts)) if n is None else np.flatnonzero(ends - starts > n)
+            if len(one) and len(able):
+                first, last = starts[able], ends[able] if n is None else starts[able] + n
+                key = runs.hashes(first, last)
+                at = np.minimum(np.searchsorted(one, key), len(one) - 1)
+                hit = np.flatnonzero(one[at] == key)
+                hit = hit[two[at[hit]] == runs.hashes(first[hit], last[hit], 1)]
+                out[able[hit]] += weight[at[hit]]
+        return out
+
+    def score(self, texts: list[str | None], at_least: float) -> tuple[np.ndarray, list[list[dict]]]:
+        """Noisy-or of all sentences of each whole text, and the spans of those that score ``at_least``; a text without words is clean."""
+        clean, spans = np.zeros(len(texts)), [[] for _ in texts]
+        run: list[tuple[int, int, str]] = []
+        held = 0
+        for i, text in enumerate(texts):
+            for at, part in _parts(text or ""):
+                if run and held + len(part) > SEGMENT:
+                    self._add(run, at_least, clean, spans)
+                    run, held = [], 0
+                run.append((i, at, part))
+                held += len(part) + 1
+        if run:
+            self._add(run, at_least, clean, spans)
+        return -np.expm1(clean), spans
+
+    def _add(self, run: list[tuple[int, int, str]], at_least: float, clean: np.ndarray, spans: list[list[dict]]) -> None:
+        """Add the log probability of being clean of each part's sentences to its text, and the offending spans."""
+        codes = _codes("\n".join(part for _, _, part in run))
+        inner = _table_of_words()[codes]
+        edge = np.flatnonzero(np.diff(inner, prepend=False, append=False))
+        starts, ends = edge[::2], edge[1::2]
+        if not len(starts):
+            return
+        runs = Runs(_numbers(codes))
+        first, of = runs.distinct(starts, ends)
+        weight = self._weights(runs, starts[first], ends[first])
+        # a sentence is what lies between two marks; line ends between parts are marks as well
+        marks = np.flatnonzero((codes == 10) | (codes == 33) | (codes == 46) | (codes == 63))
+        sentence = np.searchsorted(marks, starts)
+        is_first = np.diff(sentence, prepend=-1) > 0
+        sentences, nth = sentence[is_first], np.cumsum(is_first) - 1
+        weighted = np.flatnonzero(weight[of])
+        pairs = np.unique(nth[weighted] * np.int64(len(first)) + of[weighted])  # each word counts once in a sentence
+        z = self.bias + np.bincount(pairs // len(first), weight[pairs % len(first)], len(sentences))
+        part_ends = np.cumsum([len(part) + 1 for _, _, part in run])
+        part = np.searchsorted(part_ends, starts[is_first], side="right")
+        np.subtract.at(clean, np.array([i for i, _, _ in run])[part], np.where(z > LEAST_SCORE, np.logaddexp(0.0, z), 0.0))
+        p = 1 / (1 + np.exp(-z))
+        for k in np.flatnonzero((p >= at_least) & (z > LEAST_SCORE)):
+            i, at, text = run[part[k]]
+            begins = int(part_ends[part[k]]) - len(text) - 1
+            mark = int(marks[sentences[k] - 1]) + 1 if sentences[k] else 0
+            found = _SENTENCE.search(text, max(0, mark - begins))
+            spans[i].append({"start": at + found.start(), "end": at + found.end(), "score": float(p[k])})
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """Parts of a text with where they start; a long text is cut after sentences."""
+    at = 0
+    while len(text) - at > SEGMENT and (found := _SENTENCE_END.search(text, at + SEGMENT // 2)):
+        yield at, text[at : found.end()]
+        at = found.end()
+    yield at, text[at:]
+
+
+_word_tables: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point: the lower-case one, and whether it is part of a word; built once per process."""
+    global _word_tables
+    if _word_tables is None:
+        every = list(map(chr, range(0x110000)))
+        low = np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, len(every))
+        _word_tables = low, np.fromiter((c.isalnum() and not c.isdecimal() for c in every), bool, len(every))
+    return _word_tables
+
+
+def _table_of_words() -> np.ndarray:
+    return _tables()[1]
+
+
+def _codes(text: str) -> np.ndarray:
+    """Lower-cased code points."""
+    return _tables()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def _numbers(codes: np.ndarray) -> np.ndarray:
+    """Two numbers for each code point."""
+    spread = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+    spread ^= spread >> np.uint64(31)
+    out = np.empty((2, len(codes)), np.uint64)
+    np.multiply(spread, np.uint64(0xD6E8FEB86659FD93), out=out[0])
+    np.multiply(spread, np.uint64(0xC2B2AE3D27D4EB4F), out=out[1])
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def score_text(model: ToxicityModel, text: str | None, at_least: float) -> tuple[float, list[dict]]:
+    """Score and spans of one text."""
+    score, spans = SentenceScorer(model).score([text], at_least)
+    return float(score[0]), spans[0]
 
 
 def fit_noisy_or(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, value: np.ndarray, bare: np.ndarray, labels: np.ndarray, n_features: int, *, steps: int = FIT_STEPS, rate: float = 0.1, penalty: float = 1e-5) -> tuple[float, np.ndarray]:
@@ -113,19 +222,18 @@ def fit_noisy_or(doc: np.ndarray, sentence: np.ndarray, feature: np.ndarray, val
     return float(w[-1]), w[:-1]
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_folds: int = 5, per_class: int = FIT_PER_CLASS) -> ToxicityModel:
+def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_folds: int = 5, per_class: int = FIT_PER_CLASS, max_features: int = MAX_FEATURES) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of either class outside the held-out fold.
 
-    Spark counts the documents of each feature by class and keeps those with a large chi-square; the entries of these features in the bounded sample come to the driver for the fit.
+    Spark counts the documents of each feature by class and keeps those with a large chi-square, ``max_features`` at
+    most; the entries of these features in the bounded sample come to the driver for the fit.
     """
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class, held_out=held_out, n_folds=n_folds)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                held = {f for word in set(_WORD.findall(text.lower())) for f in word_features(word)}
-                if held:
-                    yield pd.DataFrame({"feature": list(held), "label": label})
+            held = [list({f for word in set(_WORD.findall(text.lower())) for f in word_features(word)}) for text in batch["text"]]
+            yield pd.DataFrame({"feature": [f for fs in held for f in fs], "label": np.repeat(batch["label"].to_numpy(), [len(fs) for fs in held])})
 
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
@@ -137,13 +245,14 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
     chi_square = (clean + toxic) * cross * cross / (n * F.greatest(clean + toxic - n, F.lit(1)) * clean * toxic)
     chosen = (
         sample.mapInPandas(features, "feature string, label int").groupBy("feature").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-        .select("feature", chi_square.alias("strength")).where(F.col("strength") >= MIN_CHI_SQUARE)
-        .orderBy(F.desc("strength"), "feature").limit(MAX_FEATURES)
+        .select("feature", chi_square.alias("strength")).where(F.col("strength") >= min(MIN_CHI_SQUARE, OF_DOCUMENTS * (clean + toxic)))
+        .orderBy(F.desc("strength"), "feature").limit(max_features)
     )
     index = {r["feature"]: i for i, r in enumerate(chosen.collect())}
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for text, label in zip(batch["text"], batch["label"], strict=True):
                 sentence, feature, bare, at = [], [], 0, 0
                 for _, _, words in sentence_words(text):
@@ -154,7 +263,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
                         at += 1
                     else:
                         bare += 1
-                yield pd.DataFrame({"label": [label], "bare": [bare], "n": [at], "sentence": [np.array(sentence, np.int32).tobytes()], "feature": [np.array(feature, np.int32).tobytes()]})
+                rows.append((label, bare, at, np.array(sentence, np.int32).tobytes(), np.array(feature, np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["label", "bare", "n", "sentence", "feature"])
 
     if not index:
         return ToxicityModel(-20.0, {}, toxic / (clean + toxic))
@@ -179,9 +289,10 @@ def toxicity(model: ToxicityModel, text: Column, at_least: float = 0.5) -> Colum
 
     @F.pandas_udf(SCORE_TYPE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        memo = _Memo(model)
+        scorer = SentenceScorer(model)
         for texts in batches:
-            yield pd.DataFrame([score_text(model, memo, t, at_least) for t in texts], columns=["score", "spans"])
+            found, spans = scorer.score(texts.tolist(), at_least)
+            yield pd.DataFrame({"score": found, "spans": spans})
         give_back()
 
     return score(text)
