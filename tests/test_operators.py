@@ -1,6 +1,7 @@
 """Operators on small inputs with numbers worked out by hand."""
 
 import datetime as dt
+import re
 import uuid
 
 import pytest
@@ -204,6 +205,28 @@ def test_chunking():
     with pytest.raises(ValueError):
         chunking.split_passage("text", "p " * 475, chunking.whitespace_tokens)
     assert chunking.split_passage("", "p", chunking.whitespace_tokens) == []
+    # room is what the limit leaves after the prefix and twice the special tokens
+    words = " ".join(["w"] * 100)
+    assert [b - a for a, b in chunking.split_passage(words, "p", chunking.whitespace_tokens, limit=40)] == [69, 70, 60]
+    with pytest.raises(ValueError):
+        chunking.split_passage(words, "p " * 30, chunking.whitespace_tokens, limit=40)
+    assert len(chunking.split_passage(words, "p " * 29, chunking.whitespace_tokens, limit=40)) == 14
+    broken = " ".join(["w"] * 31) + ".\n\n" + " ".join(["w"] * 40)
+    assert chunking.split_passage(broken, "p", chunking.whitespace_tokens, limit=60)[0] == (0, 64)
+
+    def merging(text):
+        """Pairs of letters are one token, so a cut may add a token."""
+        return [m.span() for m in re.finditer("..?", text)]
+
+    spans = chunking.split_passage("a" * 301, "b", merging, limit=50)
+    assert "".join("a" * (b - a) for a, b in spans) == "a" * 301 and all(len(merging("b" + "a" * (b - a))) + 2 <= 50 for a, b in spans)
+
+
+def test_token_limit(spark):
+    df = spark.createDataFrame([("a b c",), (None,), ("",)], "text string")
+    assert [r["n"] for r in df.select(chunking.token_limited(F.col("text")).alias("n")).collect()] == [5, None, 2]
+    with pytest.raises(Exception, match="more than 4"):
+        df.select(chunking.token_limited(F.col("text"), limit=4)).collect()
 
 
 def test_sampling_and_validation(spark):
