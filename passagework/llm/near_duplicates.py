@@ -14,9 +14,12 @@ Groups of thousands of copies never become all their pairs:
    buckets do so in a join; large ones are cut into blocks, and each pair of
    blocks is one task that returns a spanning forest of its candidates.
    Components of these candidates are families.
-3. The full sets of a family meet, again block against block.  A task compares
-   the classes that are not yet linked, most similar first, and returns at most
-   one link for each two components that it joins.
+3. The full sets of a family meet.  A large family is cut into parts, and each
+   part gets two of the family's members as well, so a family of copies is
+   connected after every set was sent once.  Only where it still has several
+   components do its parts meet each other.  A task compares the classes that
+   are not yet linked, most similar first, and returns at most one link for
+   each two components that it joins.
 """
 
 from __future__ import annotations
@@ -237,12 +240,14 @@ def _block_pairs(rows: DataFrame) -> DataFrame:
 def confirmed_links(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs of row numbers that link rows ``a`` with rows ``b`` on their full sets, one for each join of components.
 
+    Rows of one ``component``, where that column is given, are connected already.
+
     The candidates of a row that it is not connected with yet are compared in order of their sketches, in
     growing runs; a pair that is connected by then needs no comparison.
     """
     may, bits = candidate_matrix(rows, a, b, percent)
     sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-    root, out = np.arange(len(rows)), []
+    root, out = np.arange(len(rows)) if "component" not in rows else pd.factorize(rows["component"])[0], []
     for x, row in enumerate(a):
         may[x] &= b != row
         run = 4
@@ -262,39 +267,62 @@ def confirmed_links(rows: pd.DataFrame, a: np.ndarray, b: np.ndarray, percent: i
     return out
 
 
-def family_links(families: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links ``a, b`` on the full sets, enough to connect all linked members of each family of ``node, component``."""
+def _linked(rows: pd.DataFrame, found: list[tuple[int, int]]) -> pd.DataFrame:
+    ids = rows["doc_id"].to_numpy()
+    return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, columns=["a", "b"])
+
+
+def family_components(families: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int, links: DataFrame | None) -> DataFrame:
+    """``node, component`` by links on the full sets within each family of ``node, component``, and by further ``links``."""
     kind = dict(members.dtypes)["doc_id"]
-    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    schema = f"a {kind}, b {kind}"
+    sizes = families.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
     count = families.count()
-    of = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
+    of = families.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n", "low", "high")
     of = save_scratch(of.join(members.drop("bands"), "doc_id"), "near-families")
-    ids = of.select("doc_id")
-    wanted = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    full = of.join(shingle_sets(wanted, words), "doc_id")
-    small, batches = F.col("n") <= FAMILY_BLOCK, max(1, count // FAMILY_BATCH)
-    # small families share a task; a large one is cut into blocks, and each pair of blocks is a task
-    together = full.where(small).withColumn("batch", F.pmod(F.xxhash64("family"), F.lit(batches)))
-    apart = _block_pairs(full.where(~small).withColumn("blocks", F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")))
-
-    def links(rows: pd.DataFrame, found: list[tuple[int, int]]) -> pd.DataFrame:
-        ids = rows["doc_id"].to_numpy()
-        return pd.DataFrame({"a": [ids[x] for x, _ in found], "b": [ids[y] for _, y in found]}, columns=["a", "b"])
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        ids = rows.select("doc_id")
+        wanted = docs.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return rows.join(shingle_sets(wanted, words), "doc_id")
+
+    full, small = with_sets(of), F.col("n") <= FAMILY_BLOCK
+    # small families share a task; a large one is cut into parts that get its first and last member as well
+    together = full.where(small).withColumn("batch", F.pmod(F.xxhash64("family"), F.lit(max(1, count // FAMILY_BATCH))))
+    parts = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
+    own = F.array(F.pmod(F.xxhash64("doc_id"), parts).cast("int"))
+    every = F.sequence(F.lit(0), parts - 1)
+    apart = full.where(~small).withColumn("part", F.explode(F.when(F.col("doc_id").isin(F.col("low"), F.col("high")), every).otherwise(own)))
 
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, family in rows.groupby("family", sort=False):
-            family = family.sort_values("doc_id", ignore_index=True)
-            every = np.arange(len(family))
-            out.append(links(family, confirmed_links(family, every, every, percent)))
-        return pd.concat(out)
+        return pd.concat([part(family) for _, family in rows.groupby("family", sort=False)])
+
+    def part(rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = rows["low"].iloc[0], rows["high"].iloc[0]
+        rows = rows.assign(first=[i not in (low, high) for i in rows["doc_id"]]).sort_values(["first", "doc_id"], ignore_index=True)
+        all_rows = np.arange(len(rows))
+        return _linked(rows, confirmed_links(rows, all_rows, all_rows, percent))
+
+    found = together.groupBy("batch").applyInPandas(batch, schema).unionByName(apart.groupBy("family", "part").applyInPandas(part, schema))
+    found = save_scratch(found if links is None else found.unionByName(links), "near-links")
+    components = save_scratch(connected_components(found), "near-components")
+    if of.where(~small).isEmpty():
+        return components
+    # large families that are not connected by now: their parts meet each other
+    placed = of.where(~small).join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = save_scratch(placed, "near-placed")
+    mixed = placed.groupBy("family").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("family")
+    rest = save_scratch(placed.join(mixed, "family", "left_semi"), "near-mixed")
+    if rest.isEmpty():
+        return components
 
     def blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id", ignore_index=True)
-        return links(rows, confirmed_links(rows, *_sides(rows, *key[1:]), percent))
+        return _linked(rows, confirmed_links(rows, *_sides(rows, *key[1:]), percent))
 
-    schema = f"a {kind}, b {kind}"
-    return together.groupBy("batch").applyInPandas(batch, schema).unionByName(apart.groupBy("family", "i", "j").applyInPandas(blocks, schema))
+    dealt = _block_pairs(with_sets(rest).withColumn("blocks", parts)).where("i < j")
+    more = dealt.groupBy("family", "i", "j").applyInPandas(blocks, schema)
+    return save_scratch(connected_components(save_scratch(found.unionByName(more), "near-links")), "near-components")
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,7 +332,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     smallest id reachable by links, and ``kept`` marks the document with that id.  ``percent`` is at least 80.
 
     A document without words (null, empty, white space) is linked with nothing.  Rows with equal ids are one
-    document that is linked if any of its texts is.  A row with a null id has no component and is kept.
+    document that is linked as any of its texts is, so they have one component.  A row with a null id has no
+    component and is kept.
     Extra columns are ignored, and an empty table gives an empty result.
     """
     if not 80 <= percent <= 100 or words < 1:
@@ -314,9 +343,14 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     classes = save_scratch(sketches.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class")), "near-classes")
     first = sketches.join(classes.withColumnRenamed("class", "doc_id"), ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id", "digest"])
     members = save_scratch(first.drop("digest"), "near-members")
+    placed = save_scratch(sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "near-placed")
+    # ids with several rows, and the links that their texts make between classes
+    several = placed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    several = save_scratch(placed.where("class IS NOT NULL").join(several, "doc_id", "left_semi").select("doc_id", "class").distinct(), "near-several")
+    links = several.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     families = save_scratch(connected_components(candidate_forest(members, percent)), "near-candidates")
-    components = save_scratch(connected_components(family_links(families, members, docs, words, percent)), "near-components")
-    known = sketches.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    found = known.join(components.withColumnRenamed("node", "class"), "class", "left")
-    component = F.coalesce("component", "class", "doc_id")
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    components = family_components(families, members, docs, words, percent, links)
+    found = placed.join(components.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    of_id = several.join(components.withColumnRenamed("node", "class"), "class", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("of_id"))
+    component = F.coalesce("of_id", "component", "doc_id")
+    return found.join(of_id, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

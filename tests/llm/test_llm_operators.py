@@ -109,7 +109,7 @@ def test_quality_on_held_out_documents(spark):
     got = Q.op2_quality(spark, base).join(labels, "doc_id").where("held_out").toPandas()
     assert (got["predicted"] == got["quality"]).mean() > 0.97 and got["score"].between(0, 1).all()
     model = train_quality(docs, labels.where("false"))
-    assert model.prior == 0.5 and docs.limit(5).select(quality_score(model, F.col("text"))).count() == 5
+    assert model.blank == 0.5 and docs.limit(5).select(quality_score(model, F.col("text"))).count() == 5
 
 
 def test_quality_edges(spark, odd):
@@ -123,11 +123,11 @@ def test_quality_edges(spark, odd):
 def test_toxicity_locates_sentences():
     model = ToxicityModel(-8.0, {"scum": 12.0, "mor-": 0.0, "moro-": 10.0}, 0.1)
     text = "All fine here. You scum! Nothing more.\nA moronic line"
-    score, spans = score_text(model, {w: model.word_weight(w) for w in re.findall(r"\w+", text.lower())}, text, 0.5)
+    score, spans = score_text(model, text, 0.5)
     assert score > 0.9 and [text[s["start"] : s["end"]] for s in spans] == ["You scum!", "A moronic line"]
     each = [1 / (1 + math.exp(8)), 1 / (1 + math.exp(-4)), 1 / (1 + math.exp(8)), 1 / (1 + math.exp(-2))]
     assert score == pytest.approx(1 - math.prod(1 - p for p in each))
-    assert score_text(model, {}, None, 0.5) == score_text(model, {}, " ?! \n", 0.5) == (0.0, [])
+    assert score_text(model, None, 0.5) == score_text(model, " ?! \n", 0.5) == (0.0, [])
 
 
 def test_toxicity_on_planted_documents(spark, odd):
@@ -339,6 +339,36 @@ def test_large_groups_go_block_by_block(spark, monkeypatch):
     assert got == components_by_hand(rows, 4, 80)
 
 
+def test_large_families_of_several_components(spark, monkeypatch):
+    from passagework.llm import near_duplicates as module
+
+    for name, value in (("SMALL_BUCKET", 4), ("BUCKET_BLOCK", 16), ("FAMILY_BLOCK", 8)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(10)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, 100)]
+    rows = []
+    for i in range(90):  # a chain of copies that drift apart, and copies of both ends
+        copy = list(base)
+        for at in range(min(i, 60)):
+            copy[at] = f"x{at}"
+        copy[60 + i % 40] = f"y{i}"
+        rows.append((i * 7 % 90, " ".join(copy)))
+    for count in (90, 24):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(documents(spark, rows[:count] + rows[-count:]), words=2).collect()}
+        want = components_by_hand(list(dict(rows[:count] + rows[-count:]).items()), 2, 80)
+        assert got == want
+    assert len(set(want.values())) > 1
+
+
+def test_rows_of_one_id_have_one_component(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b), (9, a), (9, None), (20, c), (21, c), (21, None), (22, ""), (22, None), (30, a + " more"), (30, c)]
+    got = collections.defaultdict(set)
+    for r in near_duplicates(documents(spark, rows), words=4).collect():
+        got[r["doc_id"]].add((r["component_id"], r["kept"]))
+    assert got == {1: {(1, True)}, 5: {(1, False)}, 9: {(1, False)}, 20: {(1, False)}, 21: {(1, False)}, 22: {(22, True)}, 30: {(1, False)}}
+
+
 def test_near_duplicate_edges(spark, odd):
     got = near_duplicates(odd.unionByName(odd.where("doc_id = 4").withColumn("doc_id", F.lit(40).cast("long")))).collect()
     of = collections.defaultdict(set)
