@@ -133,7 +133,9 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
 
     Records are hashed by their text, so equal texts share a virtual slot and a shard.  A slot with more bytes
     than half a shard's share is split: its records are hashed by id as well, which spreads a group of copies
-    that is too large for even shards.  Null and empty texts count as equal.  Repeated rows take a place each,
+    that is too large for even shards.  Where that leaves a slot too large, since rows repeat with equal or null ids,
+    its split records are dealt by their place in the table; which of them goes where is left open.  Null and empty
+    texts count as equal.  Repeated rows take a place each,
     an empty table gives an empty result, and extra columns are ignored.  With ``map_path`` the versions of the
     map are stored there with the split slots; later calls load the newest, edit it and add a version if it changed.
     A stored map of fewer shards is grown.
@@ -145,6 +147,7 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
         docs.select(
             F.col(id_col).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), virtual_slot(F.coalesce(text, F.lit("")), n_slots).alias("virtual_slot"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "shard-sizes",
     )
@@ -156,8 +159,19 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
     split = sorted(large.union(stored.split if stored else ()))
     if split:
         spread = F.pmod(F.xxhash64("doc_id", "virtual_slot", "size"), F.lit(n_slots)).cast("int")
-        narrow = narrow.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(split), spread).otherwise(F.col("virtual_slot")))
+        cut = F.col("virtual_slot").isin(split)
+        narrow = narrow.withColumns({"virtual_slot": F.when(cut, spread).otherwise(F.col("virtual_slot")), "_row": F.when(cut, F.col("_row"))})
         slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
+        full = [i for i, b in enumerate(slot_bytes) if 2 * n_shards * b > sum(slot_bytes)]
+        if full:
+            narrow = narrow.withColumn("_row", F.when(F.col("virtual_slot").isin(full), F.col("_row")))
+            by_row = F.pmod(F.xxhash64("_row"), F.lit(n_slots)).cast("int")
+            narrow = narrow.withColumn("virtual_slot", F.when(F.col("_row").isNotNull(), by_row).otherwise(F.col("virtual_slot")))
+            slot_bytes, slot_rows = _slot_sums(narrow, n_slots)
+        else:
+            narrow = narrow.withColumn("_row", F.lit(None).cast("long"))
+    else:
+        narrow = narrow.withColumn("_row", F.lit(None).cast("long"))
     first = replace(stored or SlotMap.initial(n_shards, n_slots), split=tuple(split))
     final = first
     while final.n_shards < n_shards:
@@ -177,7 +191,7 @@ def shard_documents(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", t
     table = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, start long"))
     # a slot's rows are numbered in cells, so that a large group of copies doesn't meet in one task
     cell = ["virtual_slot", "cell"]
-    narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(CELLS)).cast("int"))
+    narrow = narrow.withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "_row"), F.lit(CELLS)).cast("int"))
     ahead = F.sum("n").over(W.partitionBy("virtual_slot").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
     cells = narrow.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).select(*cell, F.coalesce(ahead, F.lit(0)).alias("ahead"))
     nth = F.row_number().over(W.partitionBy(*cell).orderBy("doc_id", "text_crc32", "size"))

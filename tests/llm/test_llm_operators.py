@@ -176,6 +176,29 @@ def test_a_group_too_large_for_a_shard_is_spread(spark):
     assert per.max() - per.min() <= 20 and all(sorted(p) == list(range(len(p))) for _, p in got.groupby("shard")["slot"])
 
 
+def test_repeated_rows_are_spread(spark):
+    rows = [(None, "same")] * 4000 + [(7, "own")] * 1500 + [(i, f"text no {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = shard_documents(docs, 16).toPandas()
+    per = got.groupby("shard")["size"].sum()
+    assert len(got) == len(rows) and per.max() - per.min() <= 40 and all(sorted(p) == list(range(len(p))) for _, p in got.groupby("shard")["slot"])
+    plain = got[got["text_crc32"].map(got["text_crc32"].value_counts()) == 1]
+    again = shard_documents(docs.repartition(3), 16).toPandas().set_index("text_crc32")["virtual_slot"]
+    assert (plain.set_index("text_crc32")["virtual_slot"] == again[plain["text_crc32"]]).all()
+
+
+def test_sharding_query_on_its_whole_table(spark, sf_dir):
+    got = Q.op4_sharding(spark, sf_dir).toPandas()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").toPandas().set_index("doc_id")["text"]
+    assert sorted(got["doc_id"]) == sorted(docs.index) and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    for r in got.itertuples():
+        data = (docs[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    per = got.groupby("shard")["size"].sum()
+    assert sorted(per.index) == list(range(16)) and per.max() / per.min() < 1.1
+    assert all(sorted(p) == list(range(len(p))) for _, p in got.groupby("shard")["slot"])
+
+
 def test_growing_a_slot_map(spark, tmp_path):
     sizes = [int(x) for x in np.random.default_rng(0).integers(0, 1000, 512)]
     old = SlotMap.initial(7, 512).rebalanced(sizes)
@@ -451,6 +474,37 @@ def test_word_tokens_agree_with_the_library(spark, sf_dir):
     assert words.encode(texts) == [words.whole(t) for t in texts] == words.encode(texts)
 
 
+def test_packing_query_against_the_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(Q.WORD_TOKENIZER)
+    got = Q.op7_packing(spark, sf_dir).toPandas().sort_values(["doc_id", "piece"])
+    want = []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        ids = library.encode(r["text"] or "", add_special_tokens=False).ids + [1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = ids[start : start + 4096]
+            want.append((r["doc_id"], piece, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert list(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, places in got.sort_values("offset").groupby("sequence_id"):
+        assert (places["offset"] == places["length"].cumsum() - places["length"]).all() and places["length"].sum() <= 4096
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 4096) + 1
+
+
+def test_words_of_segments_and_of_equal_hashes(monkeypatch):
+    from passagework.llm import word_runs, word_tokens
+
+    words = WordTokens(Q.WORD_TOKENIZER)
+    texts = ["it's 'round the\nword's end " * 30, "plain words " * 100, "", "x" * 400 + " tail"]
+    want = [words.whole(t) for t in texts]
+    monkeypatch.setattr(word_tokens, "SEGMENT", 60)
+    assert words.encode(texts) == want
+    values = np.random.default_rng(0).integers(0, 2**63, (2, 8), np.int64).astype(np.uint64)
+    values[0] = 0  # all first hashes are equal
+    first, of = word_runs.Runs(values[:, [1, 2, 1, 3, 2]]).distinct(np.arange(5), np.arange(1, 6))
+    assert [int(first[i]) for i in of] == [0, 1, 0, 3, 1]
+
+
 # --- 8 languages
 
 
@@ -472,10 +526,53 @@ def test_language_id(spark, odd):
     model = train_language_id(docs)
     rows = odd.unionByName(documents(spark, [(20, "123 ?!")])).select("doc_id", predict_language(model, F.col("text")).alias("p")).collect()
     assert {r["doc_id"] for r in rows if r["p"]["lang"] == "und"} == {1, 2, 3, 20} and all(r["p"]["score"] == 0 for r in rows if r["p"]["lang"] == "und")
+    marks = documents(spark, [(30, "\u0301\u0302"), (31, "e\u0301 te\u0301 la maison")]).select("doc_id", predict_language(model, F.col("text")).alias("p")).collect()
+    assert {r["doc_id"]: r["p"]["lang"] != "und" for r in marks} == {30: False, 31: True}
     nothing = train_language_id(docs.where("false"))
     assert docs.limit(3).select(predict_language(nothing, F.col("text")).alias("p")).where("p.lang = 'und'").count() == 3
 
 
+def test_language_of_a_single_document(spark):
+    english, french = "the cat and the dog went over to the old house near the river", "les enfants jouent dans le jardin avec leurs amis pendant que les parents parlent"
+    docs = spark.createDataFrame([(i, english + f" {'abcdefgh'[i % 8]}", "en") for i in range(50)] + [(100, french, "fr")], "doc_id long, text string, lang string")
+    model = train_language_id(docs, held_out=-1)
+    asked = spark.createDataFrame([(1, "les parents jouent avec leurs enfants dans le jardin"), (2, "the old dog and the cat")], "doc_id long, text string")
+    assert {r[0]: r[1]["lang"] for r in asked.select("doc_id", predict_language(model, F.col("text"))).collect()} == {1: "fr", 2: "en"}
+
+
+def test_language_scores_against_ngram_sets(spark):
+    """The filters give what sets of the same n-grams give, but for their false positives."""
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    texts = {r["doc_id"]: r for r in docs.collect()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 4 == 2}
+
+    def ngrams(text):
+        low = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        return [low[i : i + n] for n in (3, 4) for i in range(len(low) - n + 1) if " " not in low[i + 1 : i + n - 1]]
+
+    per, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, r in texts.items():
+        if i not in held:
+            per[r["lang"]].update(set(ngrams(r["text"])))
+            n_docs[r["lang"]] += 1
+    share = {k: {g: n / n_docs[k] for g, n in c.items() if n >= min(2, math.ceil(0.05 * n_docs[k])) and n / n_docs[k] >= 0.004} for k, c in per.items()}
+    top = collections.Counter()
+    for c in share.values():
+        for g, x in c.items():
+            top[g] = max(top[g], x)
+    chosen = {k: {g for g, x in c.items() if x >= 0.35 * top[g]} for k, c in share.items()}
+    assert len(set().union(*chosen.values())) <= 12_000 * len(chosen)
+    got = {r["doc_id"]: r for r in Q.op8_language_id(spark, base).collect()}
+    agreed = 0
+    for i, r in texts.items():
+        found = ngrams(r["text"])
+        scores = {k: sum(g in chosen[k] for g in found) / max(1, len(found)) for k in sorted(chosen)}
+        best = max(scores, key=scores.get)
+        agreed += got[i]["lang_pred"] == best and abs(got[i]["score"] - scores[best]) < 0.03
+    assert agreed >= 0.98 * len(texts)
+
+
 # --- 9 embeddings
 
 
@@ -574,6 +671,51 @@ def test_piece_ids_are_the_agendas_and_differing_ones_raise():
             encoder.encode([text])
 
 
+def test_decoded_digests_against_the_library(spark, sf_dir):
+    library = PieceEncoder(Q.PIECE_MODEL).library
+    got = {r["doc_id"]: r for r in Q.op10_pieces(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = library.encode(r["text"] or "")
+        assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest() and got[r["doc_id"]]["n_tokens"] == len(ids)
+
+
+def test_quality_of_blank_texts_is_learned(spark):
+    good, bad = "This is a whole sentence of plain words, and it ends here.\n", "$$ 11 %% BUY >>> 22\n"
+    rows = [(i, good if i % 2 else bad) for i in range(60)] + [(100 + i, (None, "", " \n")[i % 3]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100 + i, 0) for i in range(30)] + [(999, 1)], "doc_id long, quality int")
+    for per_class in (3000, 10):
+        model = train_quality(docs, labels, held_out=-1, per_class=per_class)
+        assert model.blank == pytest.approx(31 / 91 / 31)
+    assert model.score(["", "\n "]).tolist() == [model.blank] * 2
+
+
+def test_samples_are_bounded_by_ids(spark):
+    from passagework.llm.sampling import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, None), (2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1), (None, 1)], "doc_id long, quality int")
+    found = labelled_sample(docs, labels, "quality", per_class=100, held_out=-1, n_folds=5).collect()
+    assert sorted((r["doc_id"], r["text"], r["label"]) for r in found) == [(1, "text 0", 1), (2, "b", 0), (3, "", 0)]
+
+
+def test_toxicity_of_few_labels_and_of_long_texts(spark, monkeypatch):
+    from passagework.llm import toxicity_mil as module
+
+    rows = [(i, f"this is a vile thing {i}" if i % 2 else f"this is a nice thing {i}") for i in range(12)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    model = train_toxicity(docs, labels, held_out=-1)
+    assert score_text(model, "a vile one", 0.5)[0] > 0.5 > score_text(model, "a nice one", 0.5)[0]
+    text = "Nice words here. " * 40 + "A vile sentence! " + "More of it\n" * 40 + "vile at the end"
+    whole = score_text(model, text, 0.5)
+    monkeypatch.setattr(module, "SEGMENT", 100)
+    cut = score_text(model, text, 0.5)
+    assert cut[0] == pytest.approx(whole[0]) and [(s["start"], s["end"]) for s in cut[1]] == [(s["start"], s["end"]) for s in whole[1]]
+    assert [text[s["start"] : s["end"]] for s in cut[1]] == ["A vile sentence!", "vile at the end"]
+
+
 def test_quality_learns_from_long_documents(spark):
     good, bad = "This is a whole sentence of plain words, and it ends here.\n", "$$ 11 %% BUY >>> 22\n"
     docs = spark.createDataFrame([(i, (good if i % 2 else bad) * 450) for i in range(40)], "doc_id long, text string")
