@@ -183,6 +183,7 @@ def token_bytes(tokenizer_file: str, text: Column) -> Column:
         words = word_tokens_for(tokenizer_file)
         for batch in batches:
             yield pa.array([b for run in chunked(batch.to_pylist(), SEGMENT) for b in words.encode(run)], pa.binary())
+        words.memo.clear()
         give_back()
 
     return encode(text)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +44,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, per_class
 
 
 def give_back() -> None:
-    """Return what a finished task's Arrow batches held to the system; workers live on and serve other stages."""
+    """Return what a finished task held to the system; workers live on and serve other stages."""
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one, it decides itself
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunked(texts: list[str | None], max_chars: int = 4_000_000):

@@ -33,7 +33,7 @@ MAX_FEATURES = 4000
 FIT_STEPS = 500
 PREFIXES = (4, 5)
 #: Characters of a text that are scored at once; a longer text is cut after a sentence.
-SEGMENT = 1_000_000
+SEGMENT = 250_000
 #: Sentences of a lower score add nothing (2 in a billion).
 LEAST_SCORE = -20.0
 
@@ -163,9 +163,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: the lower-case one, and whether it is part of a word; built once per process."""
     global _word_tables
     if _word_tables is None:
-        every = list(map(chr, range(0x110000)))
-        low = np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, len(every))
-        _word_tables = low, np.fromiter((c.isalnum() and not c.isdecimal() for c in every), bool, len(every))
+        low = np.fromiter((ord(chr(c).lower()[0]) for c in range(0x110000)), np.uint32, 0x110000)
+        _word_tables = low, np.fromiter((chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)), bool, 0x110000)
     return _word_tables
 
 
