@@ -49,19 +49,23 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     they stay, but a repeated row with an id is left once.  Very long texts are compared whole, an empty table gives
     an empty one, and extra columns are kept as they are.
     """
+    by_id = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL")
+    if by_id.isEmpty():  # each row is named by its id alone
+        copies = near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id")
+        return docs.join(save_scratch(copies, "pipeline-copies"), "doc_id", "left_anti").select(*docs.columns)
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(text, 256))
     # a byte that puts rows without an id last, the id in the order of its value, and what tells its texts apart
     order = F.unhex(F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0"))
-    named = F.concat(F.unhex(F.lit("00")), order, F.substring(digest, 1, 8))
+    named = F.concat(F.unhex(F.lit("00")), order, F.substring(digest, 1, 16))
     nameless = F.when(text.rlike(r"[^\x20\x09-\x0d]"), F.concat(F.unhex(F.lit("01")), digest))
     keyed = docs.withColumn(KEY, F.when(F.col("doc_id").isNotNull(), named).otherwise(nameless))
     copies = near_duplicates(keyed, words=5, percent=80, id_col=KEY).where("NOT kept").select(F.col("doc_id").alias(KEY)).distinct()
     left = keyed.join(save_scratch(copies, "pipeline-copies"), KEY, "left_anti")
-    repeated = save_scratch(keyed.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(KEY), "pipeline-repeated")
-    if not repeated.isEmpty():
-        left = left.join(repeated, KEY, "left_anti").unionByName(left.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
-    return left.select(*docs.columns)
+    repeated = keyed.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(KEY)
+    repeated = save_scratch(repeated, "pipeline-repeated")
+    once = left.join(repeated, KEY, "left_anti").unionByName(left.join(repeated, KEY, "left_semi").dropDuplicates([KEY]))
+    return once.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
