@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,24 @@ casefold_nfkc = _on_texts(folded, T.StringType())
 question_key = _on_texts(lambda t: " ".join(folded(t).split()), T.StringType())
 
 
+_TOKENS = regex.compile(WORD_PATTERN)
+_REFERENCES = regex.compile(REFERENCE_PATTERN)
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Words and reference prefixes of a text that is normalised first."""
+    low = folded(text or "")
+    found = _TOKENS.findall(low)
+    for reference in _REFERENCES.findall(low):
+        base, *parts = "".join(reference.split()).split("(")
+        found += [base + "".join("(" + p for p in parts[: n + 1]) for n in range(len(parts))]
+    return found
+
+
+#: The same as a column.
+exact_tokens = _on_texts(tokens_of, T.ArrayType(T.StringType()))
+
+
 def words(normalized: Column) -> Column:
     """Words of a normalised text: runs of letters and numbers, joined by apostrophes."""
     return F.regexp_extract_all(normalized, F.lit(WORD_PATTERN), 0)
@@ -94,7 +113,9 @@ def tokenize(text: Column, *, exact: bool = False) -> Column:
     ``exact`` normalises by NFKC and case folding in Arrow batches.  Without it lower-casing alone is used,
     which agrees for text that is composed and has no letters like the German sharp s in upper case.
     """
-    normalized = F.coalesce(casefold_nfkc(text) if exact else F.translate(F.lower(text), "’‘", "''"), F.lit(""))
+    if exact:
+        return F.coalesce(exact_tokens(text), F.array().cast("array<string>"))
+    normalized = F.coalesce(F.translate(F.lower(text), "’‘", "''"), F.lit(""))
     return F.concat(words(normalized), reference_prefixes(normalized))
 
 

@@ -1,16 +1,23 @@
-"""Exact nearest neighbours by cosine, query blocks against data blocks."""
+"""Exact nearest neighbours by cosine: queries are sent to the vectors, which stay where they are."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.operators.ranking import top_k
+from passagework.operators.validation import require
+from passagework.sources.scratch import save_scratch
 
-#: Rows of a block of queries or data.
-BLOCK = 4096
+#: Query vectors that are sent at once hold so many numbers at most (64 MB).
+SENT_NUMBERS = 8_000_000
+#: Scores that are held at once.
+SCORES_AT_ONCE = 4_000_000
 
 
 def _unit_rows(values: pd.Series) -> np.ndarray:
@@ -19,39 +26,76 @@ def _unit_rows(values: pd.Series) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
+class _Best:
+    """The best ``k`` answers so far of the queries of one kind (vector length and filter values)."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, decimals: int, exclude_self: bool) -> None:
+        self.ids, self.rows, self.k, self.decimals, self.exclude_self = ids, rows, k, decimals, exclude_self
+        self.held: pd.DataFrame | None = None
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Take further vectors, sorted by id, into account."""
+        step, new = max(1, SCORES_AT_ONCE // max(1, len(ids))), []
+        for at in range(0, len(self.ids), step):
+            asked = self.ids[at : at + step]
+            score = np.round(self.rows[at : at + step] @ rows.T, self.decimals) + 0.0
+            if self.exclude_self:
+                score[asked[:, None] == ids[None]] = -np.inf
+            order = np.argsort(-score, axis=1, kind="stable")[:, : self.k]
+            row = np.repeat(np.arange(len(asked)), order.shape[1])
+            new.append(pd.DataFrame({"query_id": asked[row], "vec_id": ids[order.ravel()], "score": score[row, order.ravel()]}))
+        every = pd.concat(new if self.held is None else [self.held, *new])
+        every = every[np.isfinite(every["score"])].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        self.held = every.groupby("query_id", sort=False).head(self.k)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, filters: tuple[str, ...] = (), exclude_self: bool = True, decimals: int = 6) -> DataFrame:
     """``query_id, vec_id, score, rank`` of the best ``k`` vectors for each query.
 
     ``vectors`` and ``queries`` hold ``vec_id`` or ``query_id``, ``embedding``, and the ``filters`` columns, in
     which a query and its answers must agree.  Vectors that are null or of another length than the query's are
-    never returned.  Both sides are cut into blocks; each pair of blocks is one task that returns its best ``k``
-    per query.  Scores are rounded before ranking, ties go to the smaller id.
+    never returned.  Queries are sent to the partitions of the vectors in blocks of a bounded size, and a
+    partition returns its best ``k`` for each query, so no vector is shuffled or copied; with more queries than a
+    block holds the vectors are read once for each block.  Scores are rounded before ranking, ties go to the
+    smaller id.
     """
-    if k < 1:
-        raise ValueError("k must be positive")
-    held = [F.col(c).alias(c) for c in ("embedding", *filters)]  # both sides may come from one table
-    data = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").alias("id"), *held)
-    asked = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("query_id").alias("id"), *held)
-    n_data, n_asked = (max(1, -(-df.count() // BLOCK)) for df in (data, asked))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    key = ["dim", *filters, "i", "j"]
-    left = asked.withColumns({"i": block(n_asked), "j": F.explode(F.sequence(F.lit(0), F.lit(n_data - 1)))})
-    right = data.withColumns({"i": F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))), "j": block(n_data)})
-    left, right = (df.withColumn("dim", F.size("embedding")) for df in (left, right))
+    require(k >= 1, "k must be positive")
+    usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    data = vectors.where(usable).select(F.col("vec_id").alias("id"), "embedding", *filters)
+    asked = queries.where(usable).select(F.col("query_id").alias("id"), "embedding", *filters)
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
+    numbers = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+    # twice the blocks that would do on average, so that a block of uneven hashes is bounded too
+    blocks = 1 if numbers <= SENT_NUMBERS else 2 * -(-numbers // SENT_NUMBERS)
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, score double"
+    parts = []
+    for block in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        part = data.mapInPandas(_best_of(mine.toPandas(), filters, k, decimals, exclude_self), schema)
+        parts.append(part if blocks == 1 else save_scratch(part, "nearest-block"))
+    found = reduce(DataFrame.unionByName, parts)
+    order: list[Column] = [F.desc("score"), F.asc("vec_id")]
+    return top_k(found, ["query_id"], order, k)
+
+
+def _best_of(asked: pd.DataFrame, filters: tuple[str, ...], k: int, decimals: int, exclude_self: bool):
+    """Function over a partition's vectors that yields the best answers there."""
+
+    def by_kind(rows: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        rows = rows.assign(_dim=rows["embedding"].map(len))
+        yield from rows.groupby(["_dim", *filters], sort=False)
+
+    grouped = {kind: (rows["id"].to_numpy(), _unit_rows(rows["embedding"])) for kind, rows in by_kind(asked)} if len(asked) else {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple, _Best] = {}
+        for batch in batches:
+            for kind, rows in by_kind(batch) if len(batch) and grouped else ():
+                if kind in grouped:
+                    if kind not in best:
+                        best[kind] = _Best(*grouped[kind], k, decimals, exclude_self)
+                    rows = rows.sort_values("id")
+                    best[kind].add(rows["id"].to_numpy(), _unit_rows(rows["embedding"]))
+        yield from (b.held for b in best.values() if b.held is not None)
 
-    def best(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(theirs):
-            return pd.DataFrame({"query_id": mine["id"].iloc[:0], "vec_id": theirs["id"].iloc[:0], "score": np.zeros(0)})
-        theirs = theirs.sort_values("id", ignore_index=True)
-        score = np.round(_unit_rows(mine["embedding"]) @ _unit_rows(theirs["embedding"]).T, decimals) + 0.0
-        ids = theirs["id"].to_numpy()
-        if exclude_self:
-            score[mine["id"].to_numpy()[:, None] == ids[None]] = -np.inf
-        order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        row = np.repeat(np.arange(len(mine)), order.shape[1])
-        out = pd.DataFrame({"query_id": mine["id"].to_numpy()[row], "vec_id": ids[order.ravel()], "score": score[row, order.ravel()]})
-        return out[np.isfinite(out["score"])]
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(best, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
-    return top_k(found, ["query_id"], [F.desc("score"), F.asc("vec_id")], k)
+    return run

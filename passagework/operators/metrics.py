@@ -29,15 +29,18 @@ def recall_at(retrieved: Column, gold: Column, k: int) -> Column:
     return F.size(F.array_intersect(F.slice(retrieved, 1, require_k(k)), gold)) / F.greatest(F.size(gold), F.lit(1))
 
 
-def ranked_metrics(hits: DataFrame, gold: DataFrame, ks: Sequence[int] = K_VALUES) -> DataFrame:
+def ranked_metrics(hits: DataFrame, gold: DataFrame, ks: Sequence[int] = K_VALUES, questions: DataFrame | None = None) -> DataFrame:
     """``query_id, k, precision, recall`` from ranked ``query_id, id, rank`` and ``query_id, id`` (gold).
 
-    Works by joins, so gold sets of any size stay distributed.  A query of ``hits`` without gold has recall 0.
+    Works by joins, so gold sets of any size stay distributed.  A query without gold has recall 0.  ``questions``
+    (``query_id``) lists all that were asked; those without hits, which failed, count with zeros.  By default
+    they are the queries with hits or gold.
     """
     sizes = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     right = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank")).join(gold.distinct(), ["query_id", "id"], "left_semi")
     counts = right.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= require_k(k)).alias(f"c{k}") for k in ks))
-    base = hits.select("query_id").distinct().join(sizes, "query_id", "left").join(counts, "query_id", "left")
+    asked = questions.select("query_id") if questions is not None else hits.select("query_id").unionByName(gold.select("query_id"))
+    base = asked.distinct().join(sizes, "query_id", "left").join(counts, "query_id", "left")
     stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(F.col(f"c{k}"), F.lit(0)).alias("c")) for k in ks)))
     rows = base.select("query_id", F.greatest(F.coalesce("n_gold", F.lit(0)), F.lit(1)).alias("n"), stacked.alias("x"))
     return rows.select("query_id", F.col("x.k").alias("k"), F.round(F.col("x.c") / F.col("x.k"), 6).alias("precision"), F.round(F.col("x.c") / F.col("n"), 6).alias("recall"))

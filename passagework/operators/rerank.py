@@ -23,8 +23,8 @@ Scorer = Callable[[Column, Column], Column]
 
 def overlap_scorer(margin: float = 0.25) -> Scorer:
     def score(query: Column, passage: Column) -> Column:
-        held = F.array_distinct(tokenize(passage))
-        share = F.size(F.array_intersect(held, tokenize(query))) / F.greatest(F.size(held), F.lit(1))
+        held = F.array_distinct(tokenize(passage, exact=True))
+        share = F.size(F.array_intersect(held, tokenize(query, exact=True))) / F.greatest(F.size(held), F.lit(1))
         return F.round(share - margin, 6)
 
     return score

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagework.functions.text import alpha_value, roman_value
+from passagework.functions.text import alpha_value, question_key, roman_value
 
 
 def require(condition: object, message: str) -> None:
@@ -39,20 +39,25 @@ def set_differences(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Da
 
 
 def row_differences(left: DataFrame, right: DataFrame, key: str, ignore: Sequence[str] = ()) -> DataFrame:
-    """``key, field`` for each field in which rows of one key differ (nulls equal each other)."""
+    """``key, field`` for each field in which rows of one key differ (nulls equal each other).
+
+    A key of one side only is reported with the field ``missing left`` or ``missing right``.
+    """
     fields = [c for c in left.columns if c in right.columns and c not in (key, *ignore)]
-    both = left.alias("l").join(right.alias("r"), key)
+    here = [df.select(key, *fields, F.lit(True).alias("_here")).alias(side) for df, side in ((left, "l"), (right, "r"))]
+    both = here[0].join(here[1], F.col(f"l.{key}") == F.col(f"r.{key}"), "full")
     differing = F.array(*(F.when(~F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")), F.lit(c)) for c in fields))
-    return both.select(key, F.explode(F.array_compact(differing)).alias("field"))
+    alone = F.when(F.col("l._here").isNull(), F.array(F.lit("missing left"))).when(F.col("r._here").isNull(), F.array(F.lit("missing right")))
+    return both.select(F.coalesce(f"l.{key}", f"r.{key}").alias(key), F.explode(F.coalesce(alone, F.array_compact(differing))).alias("field"))
 
 
 def question_violations(questions: DataFrame, citations: DataFrame, categories: Sequence[str], provenances: Sequence[str]) -> DataFrame:
     """``id, violation`` of benchmark questions.
 
-    Checks blank texts, unknown categories and provenances, repeated ids and texts (white space and case
-    aside), empty or repeated gold, gold that the corpus lacks, and gold of another act than the question's.
+    Checks blank texts, unknown categories and provenances, repeated ids and texts (as ``question_key`` sees
+    them), empty or repeated gold, gold that the corpus lacks, and gold of another act than the question's.
     """
-    text = F.lower(F.regexp_replace(F.trim("query"), r"\s+", " "))
+    text = question_key(F.col("query"))
     simple = questions.select("id", F.explode(F.array_compact(F.array(
         F.when(F.coalesce(text, F.lit("")) == "", F.lit("blank query")),
         F.when(~F.coalesce(F.col("category").isin(*categories), F.lit(False)), F.lit("category")),
@@ -62,8 +67,8 @@ def question_violations(questions: DataFrame, citations: DataFrame, categories:
         F.when(F.size(F.array_distinct("gold_citation_ids")) < F.size("gold_citation_ids"), F.lit("repeated gold")),
     ))).alias("violation"))
     again = duplicates(questions, ["id"]).select("id", F.lit("repeated id").alias("violation"))
-    texts = questions.select("id", text.alias("t")).groupBy("t").agg(F.collect_list("id").alias("ids"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = texts.select(F.explode("ids").alias("id"), F.lit("repeated query").alias("violation"))
+    texts = questions.select("id", F.sha2(text, 256).alias("t"))
+    same = texts.join(duplicates(texts.where("t IS NOT NULL"), ["t"]), "t", "left_semi").select("id", F.lit("repeated query").alias("violation"))
     gold = questions.select("id", "act", F.explode("gold_citation_ids").alias("citation_id")).join(citations.select("citation_id", F.col("act").alias("gold_act")), "citation_id", "left")
     wrong = F.when(F.col("gold_act").isNull(), F.lit("unknown gold")).when(F.col("act").isNotNull() & (F.col("act") != F.col("gold_act")), F.lit("gold of another act"))
     return simple.unionByName(again).unionByName(same).unionByName(gold.select("id", wrong.alias("violation")).where("violation IS NOT NULL").distinct())

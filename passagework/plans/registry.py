@@ -15,6 +15,7 @@ from passagework.operators.ranking import percentiles
 from passagework.operators.rerank import overlap_scorer
 from passagework.operators.sampling import strided_sample
 from passagework.plans import retrieval
+from passagework.sources.scratch import scratch_root
 from passagework.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +39,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- lexical search -------------------------------------------------------------------------------------------
 
-#: Tokens of ``t.text``: words, and the prefixes of references such as 359(1)(a).
+#: Tokens of ``t.text``: words, and the prefixes of references such as 359(1)(a).  Of what case folding changes beyond
+#: lower case, the tables hold the sharp s only, and nothing that NFKC changes.
 SQL_TOKENS = r"""list_concat(
-    regexp_extract_all(translate(lower(t.text), '’‘', ''''''), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*'),
-    flatten(list_transform(regexp_extract_all(translate(lower(t.text), '’‘', ''''''), '\b\d+[a-z]?(?:\s*\(\s*[0-9a-z]+\s*\))+'),
+    regexp_extract_all(replace(translate(lower(t.text), '’‘', ''''''), 'ß', 'ss'), '[\p{L}\p{N}]+(?:''[\p{L}\p{N}]+)*'),
+    flatten(list_transform(regexp_extract_all(replace(translate(lower(t.text), '’‘', ''''''), 'ß', 'ss'), '\b\d+[a-z]?(?:\s*\(\s*[0-9a-z]+\s*\))+'),
       lambda r: list_transform(range(1, len(regexp_extract_all(regexp_replace(r, '\s+', '', 'g'), '\([^()]+\)')) + 1),
         lambda n: split_part(regexp_replace(r, '\s+', '', 'g'), '(', 1) || array_to_string(regexp_extract_all(regexp_replace(r, '\s+', '', 'g'), '\([^()]+\)')[1:n], '')))))"""
 
@@ -59,7 +61,8 @@ SQL_BM25 = f"""
 
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
-    return bm25.build_index(read_table(spark, sf_dir, "documents"))
+    """The published index of the documents; the first query over a corpus builds it."""
+    return bm25.index_of(read_table(spark, sf_dir, "documents"), f"{scratch_root(spark)}/bm25")
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,17 +82,15 @@ SELECT query_id, doc_id, score, rank FROM (
   SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored s JOIN documents d USING (doc_id) WHERE d.lang = 'fr') WHERE rank <= {TOP_K}""")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among French documents, by the statistics of all."""
-    docs = read_table(spark, sf_dir, "documents")
-    return bm25.search(bm25.build_index(docs), bm25.query_terms(_questions(spark, sf_dir)), TOP_K, eligible=docs.where("lang = 'fr'"))
+    meta = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("act"), F.lit("").alias("section"), F.col("source").alias("kind"))
+    return bm25.search(_index(spark, sf_dir), bm25.query_terms(_questions(spark, sf_dir)), TOP_K, eligible=bm25.eligible_documents(meta, act=" Fr"))
 
 
 @query("corpus_stats", f"""WITH {SQL_BM25}
 SELECT (SELECT n FROM st) AS n_docs, round((SELECT avgdl FROM st), 2) AS avg_terms, (SELECT max(dl) FROM dl) AS max_terms, (SELECT count(*) FROM idf) AS vocabulary""")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the corpus in documents, terms and distinct terms."""
-    index = _index(spark, sf_dir)
-    longest = index.postings.agg(F.coalesce(F.max("dl"), F.lit(0)).alias("max_terms"))
-    return index.stats.crossJoin(longest).select("n_docs", F.round("avgdl", 2).alias("avg_terms"), "max_terms", F.col("n_terms").alias("vocabulary"))
+    return _index(spark, sf_dir).stats.select("n_docs", F.round("avgdl", 2).alias("avg_terms"), F.col("max_dl").alias("max_terms"), F.col("n_terms").alias("vocabulary"))
 
 
 # --- vectors --------------------------------------------------------------------------------------------------

@@ -25,13 +25,18 @@ def publish_build(df: DataFrame, root: str, build_id: str) -> str:
     path = f"{root}/builds/{build_id}"
     if not _complete(spark, path):
         df.write.mode("overwrite").parquet(path)
+    _point(spark, root, build_id)
+    return path
+
+
+def _point(spark: SparkSession, root: str, build_id: str) -> None:
+    """Append a swap to the pointer; of swaps with one number, which two writers at once may make, the larger build id counts."""
     now = current_build(spark, root)
     if now is None or now[1] != build_id:
         seq = 0 if now is None else now[0] + 1
         spark.createDataFrame([(seq, build_id)], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
     if current_build(spark, root)[1] != build_id:
         raise RuntimeError("the pointer was moved by another writer")
-    return path
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
@@ -42,7 +47,7 @@ def _complete(spark: SparkSession, path: str) -> bool:
 def current_build(spark: SparkSession, root: str) -> tuple[int, str] | None:
     if not _complete(spark, f"{root}/pointer"):
         return None
-    row = spark.read.schema(POINTER_SCHEMA).parquet(f"{root}/pointer").orderBy(F.desc("seq")).first()
+    row = spark.read.schema(POINTER_SCHEMA).parquet(f"{root}/pointer").orderBy(F.desc("seq"), F.desc("build_id")).first()
     return (row["seq"], row["build_id"]) if row else None
 
 
@@ -54,6 +59,37 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/builds/{now[1]}")
 
 
+def publish_tables(tables: dict[str, DataFrame], root: str, build_id: str, about: dict[str, Any]) -> None:
+    """Write several tables as one build with a manifest of ``about`` and the row counts, and point ``root`` at it.
+
+    The manifest is written last, so a build without one is incomplete and is written anew.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path = f"{root}/builds/{build_id}"
+    if not _complete(spark, f"{path}/manifest"):
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+        rows = {name: spark.read.parquet(f"{path}/{name}").count() for name in tables}
+        text = json.dumps({**about, "build_id": build_id, "rows": rows}, sort_keys=True)
+        spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    _point(spark, root, build_id)
+
+
+def read_published(spark: SparkSession, root: str, build_id: str | None = None) -> tuple[dict[str, DataFrame], dict[str, Any]]:
+    """Tables and manifest of a build, by default the one that the pointer names; fails if it is incomplete or a count differs."""
+    if build_id is None:
+        now = current_build(spark, root)
+        build_id = now[1] if now else None
+    path = f"{root}/builds/{build_id}"
+    if build_id is None or not _complete(spark, f"{path}/manifest"):
+        raise FileNotFoundError(f"no complete build {build_id} under {root}")
+    manifest = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
+    tables = {name: spark.read.parquet(f"{path}/{name}") for name in manifest["rows"]}
+    if manifest["build_id"] != build_id or any(tables[name].count() != n for name, n in manifest["rows"].items()):
+        raise ValueError(f"build {build_id} does not fit its manifest")
+    return tables, manifest
+
+
 def audit_status(response: Any, error: str | None, response_error: str | None = None) -> str:
     """``completed`` with a response and no error, else ``failed``, which needs an error that isn't blank."""
     if response is not None and error is None and response_error is None:

@@ -7,6 +7,7 @@ recomputing the whole chain.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,13 @@ _local_folder: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder where it is unset and all runs in one process."""
     global _local_folder
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="passagework-")
     return _local_folder

@@ -110,6 +110,82 @@ def test_bm25_edges(spark):
     assert bm25.search(bm25.build_index(docs.where("false")), bm25.query_terms(queries), 5).count() == 0
 
 
+def test_bm25_published_and_filtered(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Straße eins", "BNS", "1"), (2, "strasse zwei", "BSA", "2"), (3, "ﬁn de la rue", "BNS", "2"), (3, "ﬁn de la rue", "BNS", "2")], "doc_id int, text string, act string, section string").withColumn("kind", F.lit("section"))
+    asked = bm25.query_terms(spark.createDataFrame([(1, "STRASSE"), (2, "fin")], "query_id int, text string"))
+    root = str(tmp_path / "bm25")
+    built = bm25.build_index(docs)
+    index = bm25.index_of(docs, root)
+    bm25.check_round_trip(built, index, asked)
+    build = bm25.corpus_build(docs)
+    assert build == bm25.corpus_build(docs.repartition(3)) != bm25.corpus_build(docs.limit(2)) and publish.current_build(spark, root) == (0, build)
+    assert index.stats.first()["n_docs"] == 4 and {r["doc_id"] for r in bm25.search(index, asked, 5).collect() if r["query_id"] == 1} == {1, 2}
+    only = lambda **where: {r["doc_id"] for r in bm25.search(index, asked, 5, eligible=bm25.eligible_documents(docs, **where)).collect()}
+    assert only(act=" bns ") == {1, 3} and only(act="BSA") == {2} and only(section="2") == {2, 3} and only(act="BNS", section=" 1 ") == {1} and only(kind="form") == set() and only() == {1, 2, 3}
+    with pytest.raises(ValueError, match="unknown act"):
+        bm25.eligible_documents(docs, act="IPC")
+    with pytest.raises(ValueError):
+        bm25.check_round_trip(built, bm25.build_index(docs.where("doc_id = 1")), asked)
+    with pytest.raises(FileNotFoundError):
+        bm25.load_index(spark, root, "v0-none")
+    index.terms.limit(1).write.mode("overwrite").parquet(str(tmp_path / "terms"))
+    spark.read.parquet(str(tmp_path / "terms")).write.mode("append").parquet(f"{root}/builds/{build}/terms")
+    with pytest.raises(ValueError, match="manifest"):
+        bm25.load_index(spark, root)
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).tolist(), i % 3) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int").repartition(4)
+    asked = table.where("vec_id % 4 = 0").withColumnRenamed("vec_id", "query_id")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    want = {}
+    for q in range(0, 120, 4):
+        scores = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(120) if i != q and i % 3 == q % 3)
+        want[q] = [i for _, i in scores[:3]]
+    for sent in (8_000_000, 60):
+        monkeypatch.setattr(dense, "SENT_NUMBERS", sent)
+        got = {}
+        for r in dense.nearest(table, asked, 3, filters=("label",)).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        assert got == want
+    assert dense.nearest(table, asked.where("false"), 3).count() == dense.nearest(table.where("false"), asked, 3).count() == 0
+
+
+def test_failed_questions_count_with_zeros(spark):
+    hits = spark.createDataFrame([(1, "a", 1)], "query_id int, id string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (2, "b")], "query_id int, id string")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    assert sorted(values(metrics.ranked_metrics(hits, gold, (1,), asked), "query_id", "precision", "recall")) == [(1, 1.0, 1.0), (2, 0.0, 0.0), (3, 0.0, 0.0)]
+
+
+def test_question_checks(spark):
+    ok = dict(query="What?", act=None, category="c", provenance="p", gold_citation_ids=["x"], needs_legal_review=False)
+    rows = [dict(ok, id="1", query="Wo ist die STRASSE"), dict(ok, id="2", query=" wo  ist die straße"), dict(ok, id="3", query=" "), dict(ok, id="3", query="b", category="d"), dict(ok, id="4", query="c", gold_citation_ids=["y", "y"]), dict(ok, id="5", query="d", act="B")]
+    schema = "id string, query string, act string, category string, provenance string, gold_citation_ids array<string>, needs_legal_review boolean"
+    citations = spark.createDataFrame([("x", "A")], "citation_id string, act string")
+    found = set(values(validation.question_violations(spark.createDataFrame([[r[c.split()[0]] for c in schema.split(", ")] for r in rows], schema), citations, ["c"], ["p"]), "id", "violation"))
+    assert found == {("1", "repeated query"), ("2", "repeated query"), ("3", "blank query"), ("3", "repeated id"), ("3", "category"), ("4", "repeated gold"), ("4", "unknown gold"), ("5", "gold of another act")}
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from passagework.sources.scratch import scratch_root
+
+    unset = SimpleNamespace(get=lambda name, default=None: default)
+    for master, fails in (("local[4]", False), ("local", False), ("spark://host:7077", True), ("local-cluster[2,1,1024]", True)):
+        session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master=master))
+        if fails:
+            with pytest.raises(ValueError, match="checkpoint"):
+                scratch_root(session)
+        else:
+            assert scratch_root(session)
+
+
 def test_dense(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0]), (4, None), (5, [1.0]), (6, [1.0, 0.1])], "vec_id int, embedding array<double>")
     asked = table.where("vec_id = 1").withColumnRenamed("vec_id", "query_id")
@@ -240,6 +316,8 @@ def test_sampling_and_validation(spark):
         validation.checked(pool, F.col("id") < 5, "too large").count()
     a, b = spark.createDataFrame([(1, "x", None)], "k int, v string, w int"), spark.createDataFrame([(1, "y", None)], "k int, v string, w int")
     assert values(validation.row_differences(a, b, "k"), "field") == [("v",)]
+    more = b.unionByName(spark.createDataFrame([(2, "y", None)], a.schema))
+    assert sorted(values(validation.row_differences(a, more, "k"), "k", "field")) == [(1, "v"), (2, "missing left")]
     markers = [("n", i, m) for i, m in enumerate(["(1)", "(1A)", "(2)"])] + [("r", i, m) for i, m in enumerate(["(i)", "(ii)", "(iii)"])] + [("x", i, m) for i, m in enumerate(["(1)", "(2)", "(1)"])]
     faults = validation.marker_faults(spark.createDataFrame(markers + [("y", 0, None)], "g string, i int, m string"), ["g"], "i", "m")
     assert values(faults, "g", "fault") == [("x", "not a run")]
