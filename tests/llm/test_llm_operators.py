@@ -708,7 +708,7 @@ def test_toxicity_of_few_labels_and_of_long_texts(spark, monkeypatch):
     docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
     model = train_toxicity(docs, labels, held_out=-1)
     assert score_text(model, "a vile one", 0.5)[0] > 0.5 > score_text(model, "a nice one", 0.5)[0]
-    text = "Nice words here. " * 40 + "A vile sentence! " + "More of it\n" * 40 + "vile at the end"
+    text = "Nice words here. " * 40 + "A vile sentence! " + "It is nice\n" * 40 + "vile at the end"
     whole = score_text(model, text, 0.5)
     monkeypatch.setattr(module, "SEGMENT", 100)
     cut = score_text(model, text, 0.5)
