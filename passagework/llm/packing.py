@@ -31,6 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that are numbered together; longer runs are split.
 CELL_ROWS, LEAST_CELLS = 20_000, 16
+#: Rows of a batch whose texts are held at once.
+ROWS_AT_ONCE = 500
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -182,7 +184,11 @@ def token_bytes(tokenizer_file: str, text: Column) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = word_tokens_for(tokenizer_file)
         for batch in batches:
-            yield pa.array([b for run in chunked(batch.to_pylist(), SEGMENT) for b in words.encode(run)], pa.binary())
+            parts = []
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                texts = batch.slice(at, ROWS_AT_ONCE).to_pylist()
+                parts.append(pa.array([b for run in chunked(texts, SEGMENT) for b in words.encode(run)], pa.binary()))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
         words.memo.clear()
         give_back()
 

@@ -15,10 +15,10 @@ from tokenizers import Tokenizer
 from passagework.llm.row_merger import RowMerger
 from passagework.llm.word_runs import Runs, coded
 
-#: Words that a task remembers (about 200 bytes each, so 60 MB), and the longest that it does.
-MEMO_WORDS, MEMO_LENGTH = 300_000, 48
+#: Words that a task remembers (about 200 bytes each, so 30 MB), and the longest that it does.
+MEMO_WORDS, MEMO_LENGTH = 150_000, 48
 #: Characters of a text that are cut into words at once; a longer text is cut at white space.
-SEGMENT = 500_000
+SEGMENT = 400_000
 
 # Letters below U+0180; none of these characters changes under NFC, and lower() treats them one by one.
 _PLAIN = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x17F)] if c not in (0x130, 0x149, 0xAD)]
