@@ -6,47 +6,54 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from passagework.operators.ordered import PART, dealt, running, with_previous
 from passagework.sources.scratch import save_scratch
 
 
+def _numbered(parts: DataFrame, group: Sequence[str], order: Sequence[str], starts: Column, run: str) -> DataFrame:
+    """Dealt rows with the number of their run; ``starts`` is never null and true for a group's first row."""
+    return running(parts, group, order, {run: ("sum", starts.cast("int"))}).drop(PART)
+
+
 def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], starts: Column, run: str = "run") -> DataFrame:
-    """Rows with the number of their run, counted from 1; ``starts`` may use ``lag`` over the group and is true where one begins.
+    """Rows with the number of their run, counted from 1; ``starts`` is true where one begins.
 
     The first row of a group always begins a run.
     """
-    w = W.partitionBy(*group).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    marked = rows.withColumn("_start", (first | F.coalesce(starts, F.lit(False))).cast("int"))
-    return marked.withColumn(run, F.sum("_start").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_start")
+    seen = running(dealt(rows, group, order), group, order, {"_before": ("previous", F.struct(F.lit(1).alias("any")))})
+    return _numbered(seen, group, order, F.col("_before").isNull() | F.coalesce(starts, F.lit(False)), run).drop("_before")
 
 
 def gap_runs(rows: DataFrame, group: Sequence[str], position: str, order: Sequence[str], gap: Column, run: str = "run") -> DataFrame:
     """Runs that break where ``position`` is more than ``gap`` after the row before."""
-    before = F.lag(position).over(W.partitionBy(*group).orderBy(*order))
-    return runs(rows, group, order, F.col(position) > before + gap, run)
+    seen = running(dealt(rows, group, order), group, order, {"_before": ("previous", F.struct(F.col(position).alias("at")))})
+    starts = F.coalesce(F.col(position) > F.col("_before.at") + gap, F.lit(False))
+    return _numbered(seen, group, order, F.col("_before").isNull() | starts, run).drop("_before")
 
 
 def carry_forward(rows: DataFrame, group: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Each of ``values`` filled with the last value before it in the group that isn't null."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values})
+    return running(dealt(rows, group, order), group, order, {v: ("last", F.col(v)) for v in values}).drop(PART)
 
 
 def merge_intervals(rows: DataFrame, group: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Touching and overlapping intervals of a group as one: group columns, ``start``, ``end``, ``n``."""
-    w = W.partitionBy(*group).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    marked = runs(rows.withColumn("_reach", reach), group, [start, end], F.col(start) > F.col("_reach"), "_run")
-    merged = marked.groupBy(*group, "_run").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n"))
+    """Touching and overlapping intervals of a group as one: group columns, ``start``, ``end``, ``n``.
+
+    Equal intervals are counted before they are dealt.
+    """
+    distinct = rows.groupBy(*group, F.col(start).alias("start"), F.col(end).alias("end")).agg(F.count(F.lit(1)).alias("_n"))
+    order = ["start", "end"]
+    seen = running(dealt(distinct, group, order), group, order, {"_before": ("previous", F.struct("start")), "_reach": ("max_before", F.col("end"))})
+    marked = _numbered(seen, group, order, F.col("_before").isNull() | F.coalesce(F.col("start") > F.col("_reach"), F.lit(False)), "_run")
+    merged = marked.groupBy(*group, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("_n").alias("n"))
     return merged.drop("_run")
 
 
 def interval_gaps(merged: DataFrame, group: Sequence[str]) -> DataFrame:
     """What lies between the merged intervals of a group: group columns, ``start``, ``end``."""
-    after = F.lead("start").over(W.partitionBy(*group).orderBy("start"))
-    return merged.withColumn("_next", after).where("_next IS NOT NULL").select(*group, F.col("end").alias("start"), F.col("_next").alias("end"))
+    seen = with_previous(merged.select(*group, "start", "end"), group, ["start"], ["end"], "_before")
+    return seen.where("_before IS NOT NULL AND start IS NOT NULL").select(*group, F.col("_before.end").alias("start"), F.col("start").alias("end"))
 
 
 def subtract_intervals(total: DataFrame, removed: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -60,25 +67,24 @@ def subtract_intervals(total: DataFrame, removed: DataFrame, group: Sequence[str
 
 def coverage_faults(spans: DataFrame, group: Sequence[str], length: str, start: str = "char_start", end: str = "char_end") -> DataFrame:
     """Groups whose spans don't tile ``0..length``: group columns and ``fault`` (start, gap, empty or end)."""
-    w = W.partitionBy(*group).orderBy(start, end)
-    before = F.lag(end).over(w)
+    before = F.col("_before")[end]
     fault = F.when(F.col(start) >= F.col(end), F.lit("empty")).when(before.isNull() & (F.col(start) != 0), F.lit("start")).when(before != F.col(start), F.lit("gap"))
-    checked = spans.withColumn("_fault", fault)
+    checked = with_previous(spans.select(*group, start, end, length), group, [start, end], [end], "_before").withColumn("_fault", fault)
     last = F.when(F.max(end) != F.max(length), F.lit("end"))
     return checked.groupBy(*group).agg(F.coalesce(F.min("_fault"), last).alias("fault")).where("fault IS NOT NULL")
 
 
 def sequence_gaps(rows: DataFrame, group: Sequence[str], number: str, order: Sequence[str] | None = None) -> DataFrame:
     """Rows whose number is not one more than the row before; the first of a group must be 1."""
-    before = F.lag(number).over(W.partitionBy(*group).orderBy(*(order or [number])))
-    checked = rows.withColumn("expected", F.coalesce(before + 1, F.lit(1)))
-    return checked.where(F.col(number) != F.col("expected"))
+    seen = with_previous(rows, group, order or [number], [number], "_before")
+    checked = seen.withColumn("expected", F.coalesce(F.col("_before")[number] + 1, F.lit(1)))
+    return checked.where(F.col(number) != F.col("expected")).drop("_before")
 
 
 def as_of(rows: DataFrame, lookup: DataFrame, on: Sequence[str], position: str, values: Sequence[str]) -> DataFrame:
     """Rows with ``values`` of the last lookup row at or before their ``position`` in the group; null before the first.
 
-    Both sides are laid in one order and the values carried forward, so the work is one shuffle and no range join.
+    Both sides are laid in one order and the values carried forward, so the work is no range join.
     Of several lookup rows at one position the one with the largest values counts.
     """
     latest = lookup.groupBy(*on, position).agg(F.max(F.struct(*values)).alias("_found"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from passagework.functions.text import is_citation
+from passagework.operators.ranking import distributed_rank
 
 
 def first_seen(rows: DataFrame, group: list[str], value: str, order: list[str]) -> DataFrame:
-    """The first row of each value in a group, with its place among the distinct values."""
-    kept = rows.withColumn("_nth", F.row_number().over(W.partitionBy(*group, value).orderBy(*order))).where("_nth = 1").drop("_nth")
-    return kept.withColumn("position", F.row_number().over(W.partitionBy(*group).orderBy(*order)).cast("long"))
+    """The first row of each value in a group, with its place among the distinct values.
+
+    First rows are found by partial aggregates and ranked in parts, so neither a value nor a group is one task's work.
+    """
+    keys = [*group, value]
+    rest = [c for c in rows.columns if c not in keys]
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, "_first.*").select(*rows.columns) if rest else rows.distinct()
+    return distributed_rank(kept, group, order, "position").withColumn("position", F.col("position").cast("long"))
 
 
 def grounded(cited: DataFrame, retrieved: DataFrame, on: list[str]) -> DataFrame:

@@ -7,15 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from passagework.functions import hashing, text, vectors
-from passagework.operators import analytics, bm25, chunking, dense, metrics, quota, structure, verify
+from passagework.operators import analytics, bm25, chunking, dense, metrics, ordered, quota, structure, verify
 from passagework.operators.ranking import percentiles
 from passagework.operators.rerank import overlap_scorer
 from passagework.operators.sampling import strided_sample
 from passagework.plans import retrieval
-from passagework.sources.scratch import scratch_root
+from passagework.sources.scratch import save_scratch, scratch_root
 from passagework.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,7 +336,8 @@ def coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     size = docs.select("doc_id", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_total"))
     chunks = chunking.word_chunks(docs, CHUNK_WORDS).withColumn("char_start", F.col("fragment_index") * CHUNK_WORDS)
-    spans = chunks.withColumn("char_end", F.col("char_start") + F.col("n_words")).join(size, "doc_id")
+    spans = chunks.select("doc_id", "n_words", "char_start", (F.col("char_start") + F.col("n_words")).alias("char_end")).join(size, "doc_id")
+    spans = save_scratch(spans, "spans")
     faults = structure.coverage_faults(spans, ["doc_id"], "n_total")
     totals = spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_words").alias("covered"))
     return totals.join(faults, "doc_id", "left").select("doc_id", "n_chunks", "covered", F.col("fault").isNull().alias("whole"))
@@ -410,10 +410,9 @@ def strided_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT conv_id, turn, list_sort(string_split(text, '')) = list_sort(string_split(following, '')) AS same_characters FROM n WHERE following IS NOT NULL""")
 def multiset_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a turn holds the same characters as the next."""
-
-    following = F.lead("text").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    pairs = read_table(spark, sf_dir, "conversations").withColumn("following", following).where("following IS NOT NULL")
-    return pairs.select("conv_id", "turn", text.same_characters(F.col("text"), F.col("following")).alias("same_characters"))
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    pairs = ordered.with_previous(turns, ["conv_id"], ["turn", "role", "text"], ["turn", "text"]).where("before IS NOT NULL AND text IS NOT NULL")
+    return pairs.select("conv_id", "before.turn", text.same_characters(F.col("before.text"), F.col("text")).alias("same_characters"))
 
 
 @query("json_props", "SELECT event_type, count(*) AS n, count(json_extract(props, '$.k')) AS n_k, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS sum_k FROM events GROUP BY event_type")
