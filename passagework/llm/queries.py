@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework.llm.conversation_repair import damaged, repair_conversations, turns_sha256
 from passagework.llm.embedding_dups import embedding_duplicates
+from passagework.llm.fill_in_middle import fill_in_middle, restored_pieces, streamed_sha256
+from passagework.llm.html_extraction import extract_pages
 from passagework.llm.image_copies import image_copies, media_from_embeddings
 from passagework.llm.language_id import predict_language, train_language_id
 from passagework.llm.near_duplicates import near_duplicates
@@ -133,6 +136,49 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and arranged for filling in the middle, with digests of the result and of the text restored from it."""
+    made = fill_in_middle(read_table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        streamed_sha256("text", "pieces").alias("output_sha256"), streamed_sha256("output", restored_pieces(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, [('0x' || substr(h, 8 * i - 7, 8))::BIGINT FOR i IN range(1, 5)] AS h FROM d),
+p AS (
+  SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1, n - b) || '<M>' || substr(t, a + 1, b - a)
+                      ELSE '<S>' || substr(t, b + 1, n - b) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END AS o FROM p
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(read_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    rows = read_table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(rows))
+    found = repair.conversations.join(turns_sha256(repair.turns).withColumnRenamed("conv_id", "same_id"), F.col("conv_id").eqNullSafe(F.col("same_id"))).drop("same_id")
+    none = rows.select("conv_id").distinct()
+    both = none.withColumnRenamed("conv_id", "original").join(found, F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return both.select(
+        F.col("original").alias("conv_id"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"),
+    )
+
+
 #: Components of the links ``l (a, b)`` of ``v (id)`` by all paths; groups are small on the tables that SQL is run on.
 SQL_COMPONENTS = """
 reach AS (
@@ -181,10 +227,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_embeddings": op9_embeddings,
     "op10_pieces": op10_pieces,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_conversations": op13_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op6_near_duplicates": OP6_SQL,
     "op9_embeddings": OP9_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
