@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm.conversation_repair import damaged, repair_conversations, turns_sha256
 from passagework.llm.embedding_dups import embedding_duplicates
-from passagework.llm.fill_in_middle import fill_in_middle, restored_pieces, streamed_sha256
+from passagework.llm.fill_in_middle import fill_in_middle, restored_sha256
 from passagework.llm.html_extraction import extract_pages
 from passagework.llm.image_copies import image_copies, media_from_embeddings
 from passagework.llm.language_id import predict_language, train_language_id
@@ -139,10 +139,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and arranged for filling in the middle, with digests of the result and of the text restored from it."""
     made = fill_in_middle(read_table(spark, sf_dir, "documents"))
-    return made.select(
-        "doc_id", "n", "form", "prefix_chars", "middle_chars",
-        streamed_sha256("text", "pieces").alias("output_sha256"), streamed_sha256("output", restored_pieces(F.col("output"), F.col("form"))).alias("restored_sha256"),
-    )
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored_sha256("output", "form").alias("restored_sha256"))
 
 
 OP11_SQL = """

@@ -6,8 +6,6 @@ import pytest
 
 pytest.importorskip("passagework.llm")
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from passagework.llm import fill_in_middle as M  # noqa: E402
 
 TEXTS = ["abc", "é😀x<y>", "a<P>b", "", None, "x" * 50, "<S", "P>", "<<M", ">", "\n", "word " * 100_000]
@@ -31,28 +29,29 @@ def test_against_plain_python(spark):
     docs = spark.createDataFrame([(i, t, 1, "y") for i in ids for t in TEXTS], "doc_id long, text string, n int, output string")
     docs = docs.unionByName(docs.limit(7))
     out = M.fill_in_middle(docs)
-    back = M.restored_pieces(F.col("output"), F.col("form"))
-    rows = out.select("*", M.rendered(F.col("output"), back).alias("back"), M.streamed_sha256("text", "pieces").alias("made"), M.streamed_sha256("output", back).alias("restored")).collect()
+    rows = out.select("*", M.restored_text("output", "form").alias("back"), M.restored_sha256("output", "form").alias("restored")).collect()
+    given = {(d["doc_id"], d["text"] or "") for d in docs.collect()}
     assert len(rows) == len(ids) * len(TEXTS) + 7
     for r in rows:
-        n, form, prefix, middle, output = expected(r["doc_id"], r["text"])
+        assert (r["doc_id"], r["back"]) in given
+        n, form, prefix, middle, output = expected(r["doc_id"], r["back"])
         assert (r["n"], r["form"], r["prefix_chars"], r["middle_chars"], r["output"]) == (n, form, prefix, middle, output)
-        assert r["back"] == r["text"]
-        assert r["made"] == hashlib.sha256(output.encode()).hexdigest() and r["restored"] == hashlib.sha256(r["text"].encode()).hexdigest()
+        assert r["output_sha256"] == hashlib.sha256(output.encode()).hexdigest() and r["restored"] == hashlib.sha256(r["back"].encode()).hexdigest()
+        assert M.PieceTable((r["back"], M.SENTINELS), tuple(tuple(p) for p in r["pieces"])).rendered() == output
+    assert sorted((str(r["doc_id"]), r["back"]) for r in rows) == sorted((str(d["doc_id"]), d["text"] or "") for d in docs.collect())
     assert M.fill_in_middle(docs.where("false")).count() == 0
 
 
-def test_cutting_and_permuting(spark):
-    text = F.lit("abcdef")
-    parts = M.cut(M.cut(M.cut(M.whole(text), 2), 2), 6)
-    row = spark.range(1).select(parts.alias("p"), M.rendered(text, M.arranged(parts, (2, 1, 0, 3))).alias("t")).first()
-    assert [(p["start"], p["length"]) for p in row["p"]] == [(0, 2), (2, 0), (2, 4), (6, 0)] and row["t"] == "cdefab"
+def test_cutting_and_permuting():
+    parts = M.PieceTable.of("abcdef").cut(2).cut(2).cut(6)
+    assert parts.pieces == ((0, 0, 2), (0, 2, 0), (0, 2, 4), (0, 6, 0)) and parts.arranged((2, 1, 0, 3)).rendered() == "cdefab"
     for order in M.ORDERS.values():
         assert [order[i] for i in M.inverse(order)] == list(range(6))
+    with pytest.raises(ValueError, match="no such place"):
+        parts.cut(7)
 
 
-def test_digest_streams_in_steps(spark, monkeypatch):
+def test_digest_streams_in_steps(monkeypatch):
     monkeypatch.setattr(M, "STEP", 3)
-    docs = spark.createDataFrame([(1, "€uro sign and more")], "doc_id long, text string")
-    row = M.fill_in_middle(docs).select("output", M.streamed_sha256("text", "pieces").alias("made")).first()
-    assert row["made"] == hashlib.sha256(row["output"].encode()).hexdigest()
+    table = M.transformed(1, "€uro sign and more", "1", 90, 20)[3]
+    assert table.sha256() == hashlib.sha256(table.rendered().encode()).hexdigest()
