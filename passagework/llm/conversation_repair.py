@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -190,8 +190,8 @@ def damaged(rows: DataFrame) -> DataFrame:
 class Repair:
     """``conversations``: one row each with its faults, cost and audit.
 
-    ``turns``: the repaired rows as ``conv_id, part, chunk, turns``, where ``turns`` are (role, text) in order and
-    ``part, chunk`` order the rows of a conversation.
+    ``turns``: the repaired rows as ``conv_id, part, chunk, whole, turns``, where ``turns`` are (role, text) in order,
+    ``part, chunk`` order the rows of a conversation, and ``whole`` tells that it has one row only.
     """
 
     conversations: DataFrame
@@ -254,11 +254,14 @@ def _edits(parts: DataFrame) -> DataFrame:
 def _repaired(rows: DataFrame, edits: DataFrame) -> DataFrame:
     """Rows after the edits, in chunks of bounded bytes."""
     own = W.partitionBy(PART, "conv_id").orderBy("turn", "role", "_digest", "_row")
-    bytes_here = F.sum(F.octet_length("text") + F.octet_length("role") + 2).over(own.rowsBetween(W.unboundedPreceding, 0))
-    placed = rows.select(PART, "conv_id", "role", "text", F.row_number().over(own).alias("_at"), F.floor(bytes_here / CHUNK_BYTES).alias("chunk"))
-    chunks = placed.groupBy(PART, "conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("_at", "role", "text"))).alias("_rows"))
+    size = F.octet_length("text") + F.octet_length("role") + 2
+    placed = rows.select(
+        PART, "conv_id", "role", "text", F.row_number().over(own).alias("_at"), F.floor(F.sum(size).over(own.rowsBetween(W.unboundedPreceding, 0)) / CHUNK_BYTES).alias("chunk"),
+        (F.sum(size).over(W.partitionBy(PART, "conv_id")) < CHUNK_BYTES).alias("_small"),
+    )
+    chunks = placed.groupBy(PART, "conv_id", "chunk", "_small").agg(F.sort_array(F.collect_list(F.struct("_at", "role", "text"))).alias("_rows"))
     # the edits up to each row, and those behind the last
-    steps = edits.select(PART, "conv_id", F.regexp_extract_all("edits", F.lit("[ua]*[KDUA](?:[ua]*$)?"), 0).alias("_steps"))
+    steps = edits.select(PART, "conv_id", "n_parts", F.regexp_extract_all("edits", F.lit("[ua]*[KDUA](?:[ua]*$)?"), 0).alias("_steps"))
     both = _same(chunks, steps, (PART, "conv_id"), "inner")
     turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
     made = lambda e, row: (
@@ -267,7 +270,7 @@ def _repaired(rows: DataFrame, edits: DataFrame) -> DataFrame:
     )
     here = F.slice("_steps", F.col("_rows")[0]["_at"], F.size("_rows"))
     per_row = F.zip_with("_rows", here, lambda row, step: F.filter(F.transform(F.split(step, ""), lambda e: made(e, row)), lambda t: t.isNotNull()))
-    return both.select("conv_id", F.col(PART).alias("part"), "chunk", F.flatten(per_row).alias("turns"))
+    return both.select("conv_id", F.col(PART).alias("part"), "chunk", (F.col("_small") & (F.col("n_parts") == 1)).alias("whole"), F.flatten(per_row).alias("turns"))
 
 
 def repair_conversations(rows: DataFrame) -> Repair:
@@ -332,9 +335,7 @@ def turns_sha256(turns: DataFrame) -> DataFrame:
     task, which holds a batch of them.
     """
     line = lambda t: F.concat(t["role"], F.lit(":"), t["text"])
-    texts = turns.select("conv_id", "part", "chunk", F.array_join(F.transform("turns", line), "\n").alias("text"), F.size("turns").alias("n"))
-    n_chunks: Column = F.count(F.lit(1)).over(W.partitionBy("conv_id"))
-    counted = texts.withColumn("n_chunks", n_chunks)
-    one = counted.where("n_chunks = 1").select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("repaired_sha256"))
-    several = counted.where("n_chunks > 1").sortWithinPartitions("conv_id", "part", "chunk").select("conv_id", "text", "n")
+    texts = turns.select("conv_id", "part", "chunk", "whole", F.array_join(F.transform("turns", line), "\n").alias("text"), F.size("turns").alias("n"))
+    one = texts.where("whole").select("conv_id", F.sha2(F.col("text").cast("binary"), 256).alias("repaired_sha256"))
+    several = texts.where("NOT whole").repartition("conv_id").sortWithinPartitions("conv_id", "part", "chunk").select("conv_id", "text", "n")
     return one.unionByName(several.mapInArrow(_streamed, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, repaired_sha256 string"))
