@@ -1,9 +1,8 @@
-"""Exact nearest neighbours by cosine: queries are sent to the vectors, which stay where they are."""
+"""Exact nearest neighbours by cosine: few queries are sent to the vectors, which stay where they are; many meet them block by block."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from passagework.operators.ranking import top_k
 from passagework.operators.validation import require
-from passagework.sources.scratch import save_scratch
 
 #: Query vectors that are sent at once hold so many numbers at most (64 MB).
 SENT_NUMBERS = 8_000_000
@@ -54,30 +52,51 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, *, filters: tuple[st
 
     ``vectors`` and ``queries`` hold ``vec_id`` or ``query_id``, ``embedding``, and the ``filters`` columns, in
     which a query and its answers must agree.  Vectors that are null or of another length than the query's are
-    never returned.  Queries are sent to the partitions of the vectors in blocks of a bounded size, and a
-    partition returns its best ``k`` for each query, so no vector is shuffled or copied; with more queries than a
-    block holds the vectors are read once for each block.  Scores are rounded before ranking, ties go to the
-    smaller id.
+    never returned.  Up to ``SENT_NUMBERS`` numbers of queries are sent to the partitions of the vectors, and a partition
+    returns its best ``k`` for each query, so no vector is shuffled or copied.  With more queries both sides are dealt
+    in blocks of a bounded size, and each block of queries meets each block of vectors in a task of its own.  Scores
+    are rounded before ranking, ties go to the smaller id.
     """
     require(k >= 1, "k must be positive")
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     data = vectors.where(usable).select(F.col("vec_id").alias("id"), "embedding", *filters)
     asked = queries.where(usable).select(F.col("query_id").alias("id"), "embedding", *filters)
     kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)["vec_id"]
-    numbers = asked.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-    # twice the blocks that would do on average, so that a block of uneven hashes is bounded too
-    blocks = 1 if numbers <= SENT_NUMBERS else 2 * -(-numbers // SENT_NUMBERS)
     schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, score double"
-    parts = []
-    for block in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        part = data.mapInPandas(_best_of(mine.toPandas(), filters, k, decimals, exclude_self), schema)
-        parts.append(part if blocks == 1 else save_scratch(part, "nearest-block"))
-    found = reduce(DataFrame.unionByName, parts)
+    if _numbers(asked) <= SENT_NUMBERS:
+        found = data.mapInPandas(_best_of(asked.toPandas(), filters, k, decimals, exclude_self), schema)
+    else:
+        found = _block_by_block(data, asked, filters, k, decimals, exclude_self, schema)
     order: list[Column] = [F.desc("score"), F.asc("vec_id")]
     return top_k(found, ["query_id"], order, k)
 
 
+def _numbers(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
+
+
+def _dealt(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows in blocks of even numbers of rows, whatever their ids."""
+    place = F.struct(F.spark_partition_id(), F.monotonically_increasing_id())
+    return rows.withColumn("_block", F.pmod(F.xxhash64(place), F.lit(n_blocks)).cast("int"))
+
+
+def _block_by_block(data: DataFrame, asked: DataFrame, filters: tuple[str, ...], k: int, decimals: int, exclude_self: bool, schema: str) -> DataFrame:
+    """Best answers of each block of queries in each block of vectors, one task for each two; nothing goes through the driver.
+
+    Blocks hold half of what is sent at once on average, so uneven ones are bounded too.
+    """
+    n_asked, n_data = (max(1, -(-2 * _numbers(rows) // SENT_NUMBERS)) for rows in (asked, data))
+    copies = lambda rows, mine, n_mine, other, n_other: _dealt(rows, n_mine).withColumnRenamed("_block", mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    left, right = copies(asked, "_q", n_asked, "_v", n_data), copies(data, "_v", n_data, "_q", n_asked)
+
+    def meet(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        best = list(_best_of(queries, filters, k, decimals, exclude_self)(iter([vectors]))) if len(queries) and len(vectors) else []
+        return pd.concat(best) if best else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    return left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(meet, schema)
+
+
 def _best_of(asked: pd.DataFrame, filters: tuple[str, ...], k: int, decimals: int, exclude_self: bool):
     """Function over a partition's vectors that yields the best answers there."""
 

@@ -16,12 +16,12 @@ def _numbered(parts: DataFrame, group: Sequence[str], order: Sequence[str], star
     return running(parts, group, order, {run: ("sum", starts.cast("int"))}).drop(PART)
 
 
-def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], starts: Column, run: str = "run") -> DataFrame:
+def runs(rows: DataFrame, group: Sequence[str], order: Sequence[str], starts: Column, run: str = "run", before: Sequence[str] = ()) -> DataFrame:
     """Rows with the number of their run, counted from 1; ``starts`` is true where one begins.
 
-    The first row of a group always begins a run.
+    The first row of a group always begins a run.  ``starts`` may use the columns ``before`` of the row before, as ``_before.<column>``.
     """
-    seen = running(dealt(rows, group, order), group, order, {"_before": ("previous", F.struct(F.lit(1).alias("any")))})
+    seen = running(dealt(rows, group, order), group, order, {"_before": ("previous", F.struct(*before, F.lit(1).alias("_any")))})
     return _numbered(seen, group, order, F.col("_before").isNull() | F.coalesce(starts, F.lit(False)), run).drop("_before")
 
 

@@ -1,8 +1,7 @@
-"""All registered queries of the library, by name, with SQL for each."""
+"""All registered queries of the library, by name, with SQL for each; importing it registers those of the other modules."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,29 +12,16 @@ from passagework.operators import analytics, bm25, chunking, dense, metrics, ord
 from passagework.operators.ranking import percentiles
 from passagework.operators.rerank import overlap_scorer
 from passagework.operators.sampling import strided_sample
-from passagework.plans import retrieval
+from passagework.plans import report_queries, retrieval, tree_queries  # noqa: F401
+from passagework.plans.catalog import ORACLE_SQL, QUERIES, query
 from passagework.sources.scratch import save_scratch, scratch_root
 from passagework.sources.tables import read_table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 TOP_K = 10
 AS_OF = "2024-01-15 00:00:00"
 EVENT_TYPES = ("click", "login", "purchase", "search", "view")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(function: Query) -> Query:
-        QUERIES[name] = function
-        if sql:
-            ORACLE_SQL[name] = sql.strip()
-        return function
-
-    return add
-
-
 # --- lexical search -------------------------------------------------------------------------------------------
 
 #: Tokens of ``t.text``: words, and the prefixes of references such as 359(1)(a).  Of what case folding changes beyond

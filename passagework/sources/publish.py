@@ -25,11 +25,11 @@ def publish_build(df: DataFrame, root: str, build_id: str) -> str:
     path = f"{root}/builds/{build_id}"
     if not _complete(spark, path):
         df.write.mode("overwrite").parquet(path)
-    _point(spark, root, build_id)
+    point_to(spark, root, build_id)
     return path
 
 
-def _point(spark: SparkSession, root: str, build_id: str) -> None:
+def point_to(spark: SparkSession, root: str, build_id: str) -> None:
     """Append a swap to the pointer; of swaps with one number, which two writers at once may make, the larger build id counts."""
     now = current_build(spark, root)
     if now is None or now[1] != build_id:
@@ -72,7 +72,7 @@ def publish_tables(tables: dict[str, DataFrame], root: str, build_id: str, about
         rows = {name: spark.read.parquet(f"{path}/{name}").count() for name in tables}
         text = json.dumps({**about, "build_id": build_id, "rows": rows}, sort_keys=True)
         spark.createDataFrame([(text,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
-    _point(spark, root, build_id)
+    point_to(spark, root, build_id)
 
 
 def read_published(spark: SparkSession, root: str, build_id: str | None = None) -> tuple[dict[str, DataFrame], dict[str, Any]]:
