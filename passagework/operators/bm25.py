@@ -19,11 +19,12 @@ from passagework.operators.ranking import top_k
 from passagework.operators.validation import require
 from passagework.sources.publish import publish_tables, read_published
 from passagework.sources.scratch import save_scratch
+from passagework.sources.updates import table_digest
 
 # Parameters of the score.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Version of the tables' layout; a build of another version is not read.
-INDEX_VERSION = 2
+INDEX_VERSION = 3
 #: Weighted query terms of up to so many rows (about 10 MB) are sent to the postings; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
 #: Documents that are tokenised and handed on at once.
@@ -85,24 +86,33 @@ def corpus_build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def publish_index(index: Bm25Index, root: str, build_id: str) -> None:
-    """Write the index's tables as one build and point ``root`` at it."""
+    """Write the index's tables as one build, with digests of their contents, and point ``root`` at it."""
     tables = {"postings": index.postings, "lengths": index.lengths, "terms": index.terms, "stats": index.stats}
-    publish_tables(tables, root, build_id, {"version": INDEX_VERSION})
+    publish_tables(tables, root, build_id, {"version": INDEX_VERSION, "digests": {name: table_digest(table) for name, table in tables.items()}})
 
 
-def load_index(spark: SparkSession, root: str, build_id: str | None = None) -> Bm25Index:
-    """The published index, or the build ``build_id``; fails if its version, row counts or statistics don't fit."""
+def load_index(spark: SparkSession, root: str, build_id: str | None = None, *, verify: bool = False) -> Bm25Index:
+    """The published index, or the build ``build_id``; fails if its version, row counts or statistics don't fit.
+
+    With ``verify`` all tables are read and compared with the digests of what was published.
+    """
     tables, manifest = read_published(spark, root, build_id)
     require(manifest["version"] == INDEX_VERSION, "the index has another version")
+    if verify:
+        changed = [name for name, table in tables.items() if table_digest(table) != manifest["digests"][name]]
+        require(not changed, f"the index is not what was published: {changed}")
     index = Bm25Index(tables["postings"], tables["lengths"], tables["terms"], tables["stats"])
     stats = index.stats.collect()
     require(len(stats) == 1 and stats[0]["n_docs"] == manifest["rows"]["lengths"] and stats[0]["n_terms"] == manifest["rows"]["terms"], "the index and its statistics don't fit")
     return index
 
 
-def index_of(docs: DataFrame, root: str, *, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
-    """The index of exactly these documents: loaded where ``root`` has its build, else built and published there."""
-    build = corpus_build(docs, id_col=id_col, text_col=text_col)
+def index_of(docs: DataFrame, root: str, *, snapshot: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
+    """The index of exactly these documents: loaded where ``root`` has its build, else built and published there.
+
+    ``snapshot`` names the documents' state, as ``snapshot_id`` does for files; without one all of them are read to know it.
+    """
+    build = corpus_build(docs, id_col=id_col, text_col=text_col) if snapshot is None else f"v{INDEX_VERSION}-{snapshot}"
     try:
         return load_index(docs.sparkSession, root, build)
     except FileNotFoundError:
@@ -149,7 +159,8 @@ def eligible_documents(meta: DataFrame, *, act: str | None = None, section: str
     """``doc_id`` of the rows of ``doc_id, act, section, kind`` that a search may return; a filter that is null lets all pass.
 
     An act is compared in capitals without white space; one that is not among ``acts`` (by default those of
-    ``meta``) is an error.  A blank section or kind lets all pass.
+    ``meta``) is an error.  Numbers of sections are texts, unique within an act only: a section without an act is an
+    error.  A blank section or kind lets all pass.
     """
     plain = lambda value: "".join((value or "").split())
     found = meta
@@ -159,7 +170,8 @@ def eligible_documents(meta: DataFrame, *, act: str | None = None, section: str
         require(known, f"unknown act {act!r}")
         found = found.where(named == wanted)
     if wanted := plain(section):
-        found = found.where(F.lower("section") == wanted.lower())
+        require(plain(act), "a section needs an act")
+        found = found.where(F.col("section").cast("string") == wanted)
     if wanted := plain(kind):
         found = found.where(F.lower("kind") == wanted.lower())
     return found.select("doc_id")

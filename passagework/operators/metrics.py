@@ -80,3 +80,10 @@ def gate(recall_at_5: float | None, at_least: float = RECALL_AT_5_GATE) -> int:
     if recall_at_5 is None or recall_at_5 != recall_at_5:
         return 2
     return 0 if recall_at_5 >= at_least else 1
+
+
+def run_gate(n_questions: int, n_failed: int, recall_at_5: float | None, *, at_least: float | None = None, strict: bool = False) -> int:
+    """Exit code of an evaluation: 2 if all questions failed, any did and ``strict`` is asked for, or there is nothing to hold against ``at_least``; 1 below it; else 0."""
+    if (strict and n_failed) or (n_questions and n_failed == n_questions):
+        return 2
+    return 0 if at_least is None else gate(recall_at_5, at_least)

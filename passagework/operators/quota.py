@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from passagework.operators.ranking import distributed_rank
+from passagework.operators.scans import anchored
 
 # The window and the limits per hour.
 WINDOW_SECONDS = 3600
@@ -21,39 +19,13 @@ def quota_decisions(requests: DataFrame, limit: int, *, key: str = "user_id", at
     The first request of a key opens a window of ``window`` seconds; later requests in it count, rejected ones
     too; the first request after it opens the next.  ``retry_after`` is null for allowed requests.
 
-    A pause of a whole window always ends a window, so a key's requests fall apart into stretches that are
-    decided independently.  Stretches are found per day and joined over the day's edge, so that a key with very
-    many requests is spread over tasks; each stretch is then read once, in order.
+    Which request opens a window depends on the window before it: see ``scans``, by which a key that has very many
+    requests, with pauses or without, is spread over tasks.
     """
-    rows = requests.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(at).alias("at"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"))
+    us = F.unix_micros(F.col(at).cast("timestamp"))
     width = window * 1_000_000
-    rows = rows.withColumn("day", F.floor(F.col("us") / 86_400_000_000))
-    daily = rows.groupBy("key", "day").agg(F.max("us").alias("last"))
-    edge = daily.select("key", "day", F.lag("last").over(W.partitionBy("key").orderBy("day")).alias("before"))
-    in_day = W.partitionBy("key", "day").orderBy("us", "order")
-    linked = rows.join(edge, ["key", "day"])
-    previous = F.coalesce(F.lag("us").over(in_day), "before")
-    starts = F.coalesce(F.col("us") - previous >= width, F.lit(True))
-    local = linked.withColumn("start", starts.cast("long")).withColumn("local", F.sum("start").over(in_day.rowsBetween(W.unboundedPreceding, 0)))
-    counts = local.groupBy("key", "day").agg(F.sum("start").alias("n"))
-    ahead = counts.select("key", "day", F.coalesce(F.sum("n").over(W.partitionBy("key").orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    stretch = local.join(ahead, ["key", "day"]).select("key", "order", "at", "us", (F.col("ahead") + F.col("local")).alias("stretch"))
-    dealt = stretch.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "us", "order")
-    kinds = dict(dealt.dtypes)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, anchor, count = None, 0, 0
-        for batch in batches:
-            numbers, waits = np.empty(len(batch), np.int64), np.empty(len(batch), np.float64)
-            for i, (k, s, us) in enumerate(zip(batch["key"], batch["stretch"], batch["us"], strict=True)):
-                if (k, s) != now or us - anchor >= width:
-                    now, anchor, count = (k, s), us, 0
-                count += 1
-                numbers[i], waits[i] = count, (anchor + width - us) / 1e6
-            out = batch[["key", "order", "at"]].assign(request_no=numbers, allowed=numbers <= limit)
-            yield out.assign(retry_after=np.where(out["allowed"], np.nan, np.ceil(waits)))
-
-    schema = f"key {kinds['key']}, order {kinds['order']}, at {kinds['at']}, request_no long, allowed boolean, retry_after double"
-    decided = dealt.mapInPandas(decide, schema)
-    wait = F.when(~F.col("allowed"), F.col("retry_after").cast("long"))
-    return decided.select(F.col("key").alias(key), F.col("order").alias(order), F.col("at").alias(at), "request_no", "allowed", wait.alias("retry_after"))
+    opened = anchored(requests.select(key, order, at, us.alias("_us")), [key], ["_us", order], width, "_opened")
+    numbered = distributed_rank(opened, [key, "_opened"], ["_us", order], "request_no")
+    allowed = F.col("request_no") <= limit
+    wait = F.ceil((F.col("_opened") + width - F.col("_us")) / 1_000_000).cast("long")
+    return numbered.select(key, order, at, F.col("request_no").cast("long").alias("request_no"), allowed.alias("allowed"), F.when(~allowed, wait).alias("retry_after"))

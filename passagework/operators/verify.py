@@ -40,6 +40,34 @@ def known_citations(cited: DataFrame, known: DataFrame | None, column: str = "ci
     return formed if known is None else formed.join(known.select(column), column, "left_semi")
 
 
+# Why a citation isn't accepted.
+MALFORMED, NOT_FOUND = "malformed", "not found"
+
+
+def is_known(cited: DataFrame, known: DataFrame | None, column: str = "citation_id") -> DataFrame:
+    """``cited`` with ``known``: whether a citation is well-formed and, unless ``known`` is left out, the corpus has it."""
+    formed = F.coalesce(is_citation(F.col(column)), F.lit(False))
+    if known is None:
+        return cited.withColumn("known", formed)
+    there = known.select(F.col(column).alias("_there")).distinct()
+    return cited.join(there, F.col(column) == F.col("_there"), "left").withColumn("known", formed & F.col("_there").isNotNull()).drop("_there")
+
+
+def checked_citations(cited: DataFrame, known: DataFrame, group: list[str], order: list[str], column: str = "citation_id") -> DataFrame:
+    """Group columns, ``citation_id, position, reason``: the first of each citation of a group, with why it isn't accepted (null if it is)."""
+    first = is_known(first_seen(cited.select(*group, column, *order), group, column, order), known, column)
+    reason = F.when(~F.coalesce(is_citation(F.col(column)), F.lit(False)), MALFORMED).when(~F.col("known"), NOT_FOUND)
+    return first.select(*group, column, "position", reason.alias("reason"))
+
+
+def resolved(cited: DataFrame, known: DataFrame, column: str = "citation_id") -> DataFrame:
+    """``cited`` as it is; a citation that is malformed or that the corpus lacks is an error when the rows are read."""
+    found = is_known(cited, known, column)
+    why = F.when(~F.coalesce(is_citation(F.col(column)), F.lit(False)), MALFORMED).otherwise(NOT_FOUND)
+    told = F.raise_error(F.concat(F.lit("citation "), F.coalesce(column, F.lit("null")), F.lit(" is "), why)).cast("boolean")
+    return found.where(F.when(F.col("known"), F.lit(True)).otherwise(told)).drop("known")
+
+
 def grounding_summary(cited: DataFrame, retrieved: DataFrame, group: list[str], column: str) -> DataFrame:
     """Per group the distinct citations, how many are grounded, and the ratio (1 when nothing is cited)."""
     marked = cited.select(*group, column).distinct().join(retrieved.select(*group, column).distinct().withColumn("_found", F.lit(1)), [*group, column], "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from passagework.operators.rerank import overlap_scorer
 from passagework.operators.sampling import strided_sample
 from passagework.plans import report_queries, retrieval, tree_queries  # noqa: F401
 from passagework.plans.catalog import ORACLE_SQL, QUERIES, query
+from passagework.sources.publish import snapshot_id
 from passagework.sources.scratch import save_scratch, scratch_root
 from passagework.sources.tables import read_table
 
@@ -47,7 +49,9 @@ SQL_BM25 = f"""
 
 def _index(spark: SparkSession, sf_dir: str) -> bm25.Bm25Index:
     """The published index of the documents; the first query over a corpus builds it."""
-    return bm25.index_of(read_table(spark, sf_dir, "documents"), f"{scratch_root(spark)}/bm25")
+    path = f"{sf_dir}/documents.parquet"
+    name = hashlib.blake2b(path.encode(), digest_size=8).hexdigest()  # a root for each corpus, so that builds of one don't move another's pointer
+    return bm25.index_of(read_table(spark, sf_dir, "documents"), f"{scratch_root(spark)}/bm25-{name}", snapshot=snapshot_id(spark, path))
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:

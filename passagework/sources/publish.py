@@ -90,6 +90,13 @@ def read_published(spark: SparkSession, root: str, build_id: str | None = None)
     return tables, manifest
 
 
+def snapshot_id(spark: SparkSession, path: str) -> str:
+    """Identity of the Parquet files under ``path``, by their names, lengths and times of change; no file is opened."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter="*.parquet").load(path)
+    n, total = files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first()
+    return f"{n}-{int(total or 0) % (1 << 64):016x}"
+
+
 def audit_status(response: Any, error: str | None, response_error: str | None = None) -> str:
     """``completed`` with a response and no error, else ``failed``, which needs an error that isn't blank."""
     if response is not None and error is None and response_error is None:

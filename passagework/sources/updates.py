@@ -13,6 +13,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework.sources.publish import current_build, point_to, publish_tables, read_published
 
@@ -100,17 +101,21 @@ def _plain(path: str) -> str:
 
 
 def table_digest(rows: DataFrame) -> dict[str, str]:
-    """Number of rows and a digest of a table's content that depends neither on the order of rows nor on how they are partitioned.
+    """Number of rows, schema, and a digest of a table's content that depends neither on the order of rows nor on how they are partitioned.
 
-    Rows are hashed by names and values in the order of names (nulls and types count); the digests of all rows are added up,
-    so repeated rows count as often as they occur.
+    Rows are hashed by their values in the order of the columns' names, nulls told from values, and the hashes of all rows are
+    added up, so repeated rows count as often as they occur.  It finds changes, it is no protection against forgery.
     """
     fields = sorted(rows.schema.fields, key=lambda f: f.name)
-    text = F.to_json(F.struct(*(F.col(f"`{f.name}`").alias(f.name) for f in fields)), {"ignoreNullFields": "false"})
+    value = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`")), {"ignoreNullFields": "false"}) if isinstance(f.dataType, _NESTED) else F.col(f"`{f.name}`")
+    parts = [x for f in fields for x in (value(f), F.col(f"`{f.name}`").isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *parts).cast("decimal(38,0)")).cast("string").alias(f"d{seed}") for seed in (0, 1)]
+    row = rows.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
-    halves = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"d{i}") for i in range(4)]
-    row = rows.select(F.sha2(text.cast("binary"), 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), *halves).first()
-    return {"rows": str(row["n"]), "schema": schema, "digest": "-".join(row[f"d{i}"] or "0" for i in range(4))}
+    return {"rows": str(row["n"]), "schema": schema, "digest": f"{row['d0'] or 0}:{row['d1'] or 0}"}
+
+
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def publish_chained(tables: Mapping[str, DataFrame], root: str, build_id: str, source: tuple[str, str] | None = None, about: Mapping[str, Any] | None = None) -> None:

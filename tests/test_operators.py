@@ -121,13 +121,23 @@ def test_bm25_published_and_filtered(spark, tmp_path):
     assert build == bm25.corpus_build(docs.repartition(3)) != bm25.corpus_build(docs.limit(2)) and publish.current_build(spark, root) == (0, build)
     assert index.stats.first()["n_docs"] == 4 and {r["doc_id"] for r in bm25.search(index, asked, 5).collect() if r["query_id"] == 1} == {1, 2}
     only = lambda **where: {r["doc_id"] for r in bm25.search(index, asked, 5, eligible=bm25.eligible_documents(docs, **where)).collect()}
-    assert only(act=" bns ") == {1, 3} and only(act="BSA") == {2} and only(section="2") == {2, 3} and only(act="BNS", section=" 1 ") == {1} and only(kind="form") == set() and only() == {1, 2, 3}
+    assert only(act=" bns ") == {1, 3} and only(act="BSA") == {2} and only(act="BNS", section="2") == {3} and only(act="BNS", section=" 1 ") == {1} and only(kind="form") == set() and only() == {1, 2, 3}
     with pytest.raises(ValueError, match="unknown act"):
         bm25.eligible_documents(docs, act="IPC")
+    with pytest.raises(ValueError, match="needs an act"):
+        bm25.eligible_documents(docs, section="2")
+    assert bm25.load_index(spark, root, verify=True).stats.first() == index.stats.first()
     with pytest.raises(ValueError):
         bm25.check_round_trip(built, bm25.build_index(docs.where("doc_id = 1")), asked)
     with pytest.raises(FileNotFoundError):
         bm25.load_index(spark, root, "v0-none")
+    terms = bm25.index_of(docs, str(tmp_path / "other"), snapshot="s1").terms.withColumn("idf", F.when(F.col("term") == "zwei", 9.0).otherwise(F.col("idf")))
+    terms.write.parquet(str(tmp_path / "changed"))
+    n_terms = terms.count()
+    spark.read.parquet(str(tmp_path / "changed")).write.mode("overwrite").parquet(f"{tmp_path}/other/builds/v{bm25.INDEX_VERSION}-s1/terms")
+    assert bm25.index_of(docs, str(tmp_path / "other"), snapshot="s1").terms.count() == n_terms
+    with pytest.raises(ValueError, match="not what was published: .'terms'"):
+        bm25.load_index(spark, str(tmp_path / "other"), verify=True)
     index.terms.limit(1).write.mode("overwrite").parquet(str(tmp_path / "terms"))
     spark.read.parquet(str(tmp_path / "terms")).write.mode("append").parquet(f"{root}/builds/{build}/terms")
     with pytest.raises(ValueError, match="manifest"):
