@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.functions import jsontext
-from passagework.operators import artifacts, chunking, metrics, validation, verify
+from passagework.operators import artifacts, chunking, citation_map, datasets, dense, metrics, validation, verify
+from passagework.operators.ranking import distributed_rank
+from passagework.plans import answers
 from passagework.plans.catalog import query
 from passagework.sources.tables import read_table
 
@@ -201,3 +203,90 @@ def answer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = jsontext.extract_object(text)
     rows = read_table(spark, sf_dir, "events").select("event_id", raw.alias("raw")).withColumn("parsed", F.from_json("raw", jsontext.ANSWER_SCHEMA))
     return rows.select("event_id", jsontext.violation(F.col("raw"), F.col("parsed")).alias("violation"))
+
+
+# --- the answer call, the citation map and the benchmark --------------------------------------------------------
+
+
+@query(
+    "checked_answers",
+    f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, q.label, v.vec_id, v.label AS hit_label, round(list_dot_product(q.e, v.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e))), 6) AS score FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+h AS (SELECT *, '{SOURCE}' || vec_id AS cite FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10),
+r AS (SELECT query_id, any_value(label) AS label, list(cite ORDER BY score DESC, vec_id) AS cites, list(hit_label ORDER BY score DESC, vec_id) AS labels FROM h GROUP BY query_id),
+c AS (SELECT *, CASE WHEN label = 0 THEN 'llm_unavailable' WHEN label = 1 THEN 'parse_error' END AS error FROM r)
+SELECT query_id, array_to_string(cites, ' ') AS retrieved, CASE WHEN error IS NULL THEN 'By t' || substr(cites[1], {len(SOURCE) + 1}) END AS answer,
+  CASE WHEN error IS NOT NULL THEN '' ELSE concat_ws(' ', CASE WHEN labels[1] <> 5 THEN cites[1] END, CASE WHEN labels[10] <> 5 THEN cites[10] END) END AS citations,
+  CASE WHEN error IS NULL AND label % 2 = 0 THEN 'odd-' || label ELSE '' END AS flags,
+  CASE WHEN error IS NULL THEN (label % 2 = 1 AND labels[1] <> 5 AND labels[10] <> 5)::VARCHAR ELSE 'unknown' END AS citations_valid, error FROM c""",
+)
+def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a step over the ten nearest vectors, with its claims checked; some questions find no model or get no JSON."""
+    table = read_table(spark, sf_dir, "embeddings")
+    asked = table.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    near = dense.nearest(table, asked, 10)
+    hits = near.select("query_id", F.concat(F.lit(SOURCE), "vec_id").alias("citation_id"), F.concat(F.lit("t"), "vec_id").alias("text"), "rank")
+    questions = asked.select("query_id", F.concat(F.lit("label "), "label", F.lit(" of "), "query_id").alias("text"))
+    known = table.where("label <> 5").select(F.concat(F.lit(SOURCE), "vec_id").alias("citation_id"))
+
+    def step(question: Column, passages: Column) -> Column:
+        label = F.regexp_extract(question, r"^label (\d+) of", 1)
+        odd = F.when(label.cast("int") % 2 == 0, F.array(F.concat(F.lit("odd-"), label))).otherwise(F.array().cast("array<string>"))
+        claims = F.concat(F.array(passages[0]["citation_id"], passages[9]["citation_id"]), odd, F.array(passages[0]["citation_id"]))
+        answer = F.to_json(F.struct(F.concat(F.lit("By "), passages[0]["text"]).alias("answer"), claims.alias("citations"), F.lit(1.0).alias("confidence"), F.lit("scenario").alias("query_type")))
+        return F.when(label == "0", F.lit(None).cast("string")).when(label == "1", "no object").otherwise(answer)
+
+    found = answers.answers_from_hits(questions, hits, step, known)
+    joined = (F.array_join(c, " ").alias(c) for c in ("retrieved", "citations", "flags"))
+    return found.select("query_id", *joined, "answer", F.coalesce(F.col("citations_valid").cast("string"), F.lit("unknown")).alias("citations_valid"), "error")
+
+
+SHA = "a1b2c3d4e5f60718"
+
+
+@query(
+    "citation_map",
+    """WITH o AS (SELECT o_orderkey, o_orderstatus AS act, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS i FROM orders),
+b AS (SELECT l_orderkey, l_linenumber AS page, min(l_quantity) AS x0, min(l_extendedprice) AS y0, max(l_quantity + 10) AS x1, max(l_extendedprice + 10) AS y1 FROM lineitem GROUP BY ALL),
+s AS (SELECT l_orderkey, string_agg(page::VARCHAR, ' ' ORDER BY page) AS pages, string_agg(page || ':' || round(x0, 2) || ',' || round(y0, 2) || ',' || round(x1, 2) || ',' || round(y1, 2), ' ' ORDER BY page) AS regions FROM b GROUP BY l_orderkey),
+p AS (SELECT p_partkey, CASE WHEN p_size < 20 THEN 'F' ELSE 'O' END AS act, p_partkey // 3 AS page FROM part),
+f AS (SELECT *, row_number() OVER (PARTITION BY act ORDER BY p_partkey) - 1 AS i, lead(page) OVER (PARTITION BY act ORDER BY p_partkey) - 1 AS ends FROM p),
+c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS n FROM customer)
+SELECT act || '-2024-a1b2c3d4e5f6-S' || o_orderkey AS citation_id, 'section' AS kind, '/sections/' || i AS json_pointer, 'doc ' || act AS document_name, coalesce(pages, '') AS source_pages, coalesce(regions, '') AS regions, NULL::INTEGER AS row_ordinal, NULL::INTEGER AS char_end FROM o LEFT JOIN s ON l_orderkey = o_orderkey
+UNION ALL SELECT act || '-2024-a1b2c3d4e5f6-SCH2-FORM' || p_partkey, 'form', '/forms/' || i, 'doc ' || act, array_to_string(range(page, greatest(coalesce(ends, 100000), page) + 1)[:3], ' '), NULL, NULL, NULL FROM f
+UNION ALL SELECT 'P-2024-a1b2c3d4e5f6-T1-R' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END, 'table_row', '/rows/' || n, 'doc P', (n // 40)::VARCHAR, NULL, n, NULL FROM c
+UNION ALL SELECT 'P-2024-a1b2c3d4e5f6-NOTE' || n_nationkey, 'schedule_notes', '/notes/' || n_nationkey, 'doc P', '1', NULL, NULL, length(n_name) FROM nation""",
+)
+def citation_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sections with their lines on pages, parts as forms, customers as table rows and nations as notes: all that can be cited.
+
+    Of a form's pages the first three are shown.
+    """
+    orders, lines = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    prefix = lambda act: citation_map.snapshot_prefix(act, 2024, F.lit(SHA))
+    placed = distributed_rank(orders.select("o_orderkey", F.col("o_orderstatus").alias("act")), ["act"], ["o_orderkey"], "nth")
+    sections = placed.select("o_orderkey", "act", F.concat(prefix(F.col("act")), F.lit("-S"), "o_orderkey").alias("citation_id"), F.col("o_orderkey").alias("section_number"), F.concat(F.lit("/sections/"), F.col("nth") - 1).alias("json_pointer"))
+    boxes = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("page"), F.col("l_quantity").alias("x0"), F.col("l_extendedprice").alias("y0"), (F.col("l_quantity") + 10).alias("x1"), (F.col("l_extendedprice") + 10).alias("y1"))
+    parts = read_table(spark, sf_dir, "part").select(F.when(F.col("p_size") < 20, "F").otherwise("O").alias("act"), F.col("p_partkey").alias("form_number"), F.floor(F.col("p_partkey") / 3).alias("page"))
+    forms = distributed_rank(parts, ["act"], ["form_number"], "nth").withColumns({"prefix": prefix(F.col("act")), "nth": F.col("nth") - 1})
+    customers = distributed_rank(read_table(spark, sf_dir, "customer").select(F.lit("P").alias("act"), "c_custkey"), ["act"], ["c_custkey"], "row_ordinal").withColumn("prefix", prefix(F.lit("P")))
+    notes = read_table(spark, sf_dir, "nation").select(F.lit("P").alias("act"), prefix(F.lit("P")).alias("prefix"), F.concat(F.lit("NOTE"), "n_nationkey").alias("label"), F.concat(F.lit("/notes/"), "n_nationkey").alias("json_pointer"), F.lit(1).alias("page"), F.col("n_name").alias("text"))
+    sources = spark.createDataFrame([(a, f"doc {a}", SHA) for a in ("F", "O", "P")], "act string, document_name string, source_sha256 string")
+    entries = citation_map.citation_map([
+        citation_map.section_entries(sections, boxes, ["o_orderkey"]), citation_map.form_entries(forms, 100_000),
+        citation_map.row_entries(customers, "table_row", F.lit("T1"), F.concat(F.lit("/rows/"), "row_ordinal"), F.floor(F.col("row_ordinal") / 40)), citation_map.note_entries(notes),
+    ], sources)
+    region = lambda r: F.concat(r["page_number"].cast("string"), F.lit(":"), F.array_join(F.transform(r["bbox"], lambda v: v.cast("string")), ","))
+    pages = F.when(F.col("kind") == "form", F.slice("source_pages", 1, 3)).otherwise(F.col("source_pages")).cast("array<string>")
+    return entries.select("citation_id", "kind", "json_pointer", "document_name", F.array_join(pages, " ").alias("source_pages"), F.array_join(F.transform("section_regions", region), " ").alias("regions"), "row_ordinal", "char_end")
+
+
+@query(
+    "regenerated_questions",
+    """WITH p AS (SELECT c_mktsegment AS act, lpad(c_custkey::VARCHAR, 12, '0') AS cid, c_name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS nth, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer)
+SELECT 'p34-02-direct-' || cid AS id, 'Which provision in the ingested ' || act || ' 2023 snapshot covers ' || chr(39) || c_name || chr(39) || '?' AS query, act FROM p, range(0, 6) t(i) WHERE nth = (5 + i * 7919) % n""",
+)
+def regenerated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made anew from customers as sections, spread over those of each segment."""
+    sections = read_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("act"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("citation_id"), F.concat(F.lit(" "), "c_name", F.lit(" .")).alias("title"), F.lit("/x").alias("json_pointer"))
+    return datasets.regenerated(sections, seed=5, per_act=6, stride=7919).select("id", "query", "act")
