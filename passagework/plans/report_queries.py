@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.functions import jsontext
-from passagework.operators import artifacts, chunking, citation_map, datasets, dense, metrics, validation, verify
+from passagework.functions import hashing, jsontext, vectors
+from passagework.operators import artifacts, chunking, citation_map, datasets, dense, documents, metrics, validation, verify
 from passagework.operators.ranking import distributed_rank
 from passagework.plans import answers
 from passagework.plans.catalog import query
@@ -290,3 +290,20 @@ def regenerated_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions made anew from customers as sections, spread over those of each segment."""
     sections = read_table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("act"), F.lpad(F.col("c_custkey").cast("string"), 12, "0").alias("citation_id"), F.concat(F.lit(" "), "c_name", F.lit(" .")).alias("title"), F.lit("/x").alias("json_pointer"))
     return datasets.regenerated(sections, seed=5, per_act=6, stride=7919).select("id", "query", "act")
+
+
+@query(
+    "index_faults",
+    f"""WITH p AS (SELECT vec_id, label, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS point_id
+  FROM (SELECT *, sha1(unhex('{hashing.POINT_NAMESPACE}') || encode(vec_id::VARCHAR)) AS h FROM embeddings))
+SELECT point_id, CASE label WHEN 2 THEN 'missing' WHEN 3 THEN 'payload: label' WHEN 5 THEN 'vector' END AS fault FROM p WHERE label IN (2, 3, 5)
+UNION ALL SELECT point_id, 'another key' FROM p WHERE label = 6""",
+)
+def index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A changed copy of all vectors as an index: what it lacks, and whose label, vector or key are others."""
+    unit = F.transform("embedding", lambda x: x.cast("double") / vectors.norm(F.col("embedding")))
+    table = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", unit.alias("embedding"))
+    label, key = F.col("label"), F.col("vec_id").cast("string")
+    changed = F.transform("embedding", lambda x, i: F.when((label == 5) & (i == 0), x + 1).otherwise(x))
+    points = table.where("label <> 2").select(hashing.uuid5(key).alias("point_id"), F.when(label == 6, -F.col("vec_id") - 1).otherwise(F.col("vec_id")).alias("vec_id"), changed.alias("vector"), F.when(label == 3, 30).otherwise(label).cast("int").alias("label"))
+    return documents.index_faults(table, points, ["label"], key="vec_id")

@@ -62,7 +62,11 @@ def test_vectors(spark):
 def test_json(spark):
     assert one(spark, A.json_without(F.lit('{"row_id": 1, "a": [{"row_id": 2, "b": "ü"}]}'), ["row_id"])) == '{"a":[{"b":"ü"}]}'
     assert one(spark, A.json_without(F.lit(None).cast("string"), ["x"])) is None
-    for a, b, want in (('{"a": [1, 2]}', '{"a": [1, 3]}', "/a/1"), ("1", "1.0", "/"), ('{"a": 1}', '{"b": 1}', "/a"), ("[1]", "[1, 2]", "/"), ('{"a": {"b": []}}', '{"a": {"b": {}}}', "/a/b"), ('{"a": null}', '{"a": null}', None), ("true", "1", "/")):
+    cases = (
+        ('{"a": [1, 2]}', '{"a": [1, 3]}', "$.a[1]: different value"), ("1", "1.0", "$: different types"), ('{"a": 1}', '{"b": 1}', "$: different keys"), ("[1]", "[2, 2]", "$: different list lengths"),
+        ('{"a": {"b": []}}', '{"a": {"b": {}}}', "$.a.b: different types"), ('{"a": null}', '{"a": null}', None), ("true", "1", "$: different types"), ('{"x": {"y": 1}, "a": 2}', '{"a": 3, "x": {"z": 1}}', "$.x: different keys"),
+    )
+    for a, b, want in cases:
         assert one(spark, A.first_difference(F.lit(a), F.lit(b))) == want
 
 
