@@ -12,6 +12,7 @@ the driver is one row per virtual slot, however large the input.
 from __future__ import annotations
 
 import bisect
+import uuid
 from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
@@ -25,7 +26,7 @@ from passagework.sources.scratch import save_scratch
 VIRTUAL_SLOTS = 4096
 #: Parts in which the rows of a slot are numbered.
 CELLS = 64
-MAP_SCHEMA = "version int, virtual_slot int, shard int, split boolean"
+MAP_SCHEMA = "version int, virtual_slot int, shard int, split boolean, n_shards int, writer string"
 
 
 @dataclass(frozen=True)
@@ -88,24 +89,33 @@ class SlotMap:
         return SlotMap(self.version + 1, new + 1, tuple(shards), self.split)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(self.version, i, s, i in self.split) for i, s in enumerate(self.shards)], MAP_SCHEMA)
+        writer = uuid.uuid4().hex
+        return spark.createDataFrame([(self.version, i, s, i in self.split, self.n_shards, writer) for i, s in enumerate(self.shards)], MAP_SCHEMA)
 
 
 def save_slot_map(spark: SparkSession, slot_map: SlotMap, path: str) -> None:
-    """Append a version to the map table at ``path``; older versions stay readable."""
+    """Append a version to the map table at ``path``; older versions stay readable.
+
+    Two writers at once may both append a version; the older file counts, and the other writer gets an error.
+    """
     slot_map.to_df(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    if load_slot_map(spark, path, slot_map.version) != slot_map:
+        raise RuntimeError(f"another writer stored version {slot_map.version} of the slot map; run again to edit that one")
 
 
 def load_slot_map(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-    """A version of the stored map, the newest by default."""
+    """A version of the stored map, the newest by default; of a version that several writers appended the one whose file is older."""
     table = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = table.agg(F.max("version")).first()[0]
-    rows = table.where(F.col("version") == version).select("virtual_slot", "shard", "split").collect()
-    shards = {slot: shard for slot, shard, _ in rows}
+    mine = table.where(F.col("version") == version)
+    writer = mine.agg(F.min(F.struct(F.col("_metadata.file_modification_time").alias("at"), "writer")).alias("first")).first()["first"]
+    writer = writer["writer"] if writer else None
+    rows = mine.where(F.col("writer") == writer).select("virtual_slot", "shard", "split", "n_shards").collect()
+    shards = {slot: shard for slot, shard, *_ in rows}
     if not shards or len(rows) != len(shards) or sorted(shards) != list(range(len(shards))):
         raise ValueError(f"version {version} of the slot map is missing or incomplete")
-    return SlotMap(version, max(shards.values()) + 1, tuple(shards[i] for i in range(len(shards))), tuple(sorted(slot for slot, _, cut in rows if cut)))
+    return SlotMap(version, rows[0]["n_shards"], tuple(shards[i] for i in range(len(shards))), tuple(sorted(slot for slot, _, cut, _ in rows if cut)))
 
 
 def stored_slot_map(spark: SparkSession, path: str) -> SlotMap | None:

@@ -210,6 +210,17 @@ def test_growing_a_slot_map(spark, tmp_path):
     assert old.rebalanced(sizes).shards == old.shards
 
 
+def test_two_writers_of_one_slot_map(spark, tmp_path):
+    path, first = str(tmp_path / "m"), SlotMap(1, 3, (0, 1, 0, 1))
+    save_slot_map(spark, first, path)
+    save_slot_map(spark, first, path)  # the same map twice is no conflict
+    with pytest.raises(RuntimeError, match="another writer"):
+        save_slot_map(spark, SlotMap(1, 3, (1, 1, 0, 0)), path)
+    assert load_slot_map(spark, path) == first and first.n_shards == 3
+    save_slot_map(spark, SlotMap(2, 5, (0, 1, 2, 2)), path)
+    assert load_slot_map(spark, path) == SlotMap(2, 5, (0, 1, 2, 2)) and load_slot_map(spark, path, 1) == first
+
+
 def test_stored_slot_map_is_edited(spark, tmp_path):
     path = str(tmp_path / "m")
     # one text has most of the bytes
