@@ -25,17 +25,15 @@ from passagework.llm.word_runs import Runs
 
 #: Labelled documents of either class that the fit takes at most.
 FIT_PER_CLASS = 4000
-#: The fit keeps features whose relation to the label has at least this chi-square (chance: 8 in a million), or this
-#: share of the number of documents where that is smaller; chi-square can't exceed that number.
-MIN_CHI_SQUARE, OF_DOCUMENTS = 20.0, 0.4
+#: The fit keeps features whose relation to the label has at least this chi-square (chance: 8 in a million), times n / (n + ``FEW``)
+#: for n documents, since chi-square can't exceed n.
+MIN_CHI_SQUARE, FEW = 20.0, 50.0
 #: Features that the fit takes at most, the strongest ones.
 MAX_FEATURES = 4000
 FIT_STEPS = 500
 PREFIXES = (4, 5)
 #: Characters of a text that are scored at once; a longer text is cut after a sentence.
 SEGMENT = 250_000
-#: Sentences of a lower score add nothing (2 in a billion).
-LEAST_SCORE = -20.0
 
 _SENTENCE = re.compile(r"[^\s.!?][^.!?\n]*[.!?]*")
 _SENTENCE_END = re.compile(r"[.!?]+|\n")
@@ -50,9 +48,9 @@ def word_features(word: str) -> list[str]:
 
 
 def sentence_words(text: str) -> Iterator[tuple[int, int, set[str]]]:
-    """Start, end and distinct lower-cased words of each sentence that has words."""
-    for found in _SENTENCE.finditer(text):
-        if words := set(_WORD.findall(found[0].lower())):
+    """Start, end and distinct words of each sentence that has words; a text is lower-cased as for scoring, which leaves its places."""
+    for found in _SENTENCE.finditer(lowered(text)):
+        if words := set(_WORD.findall(found[0])):
             yield found.start(), found.end(), words
 
 
@@ -114,7 +112,7 @@ class SentenceScorer:
                 held += len(part) + 1
         if run:
             self._add(run, at_least, clean, spans)
-        return -np.expm1(clean), spans
+        return -np.expm1(clean) + 0.0, spans  # no negative zero
 
     def _add(self, run: list[tuple[int, int, str]], at_least: float, clean: np.ndarray, spans: list[list[dict]]) -> None:
         """Add the log probability of being clean of each part's sentences to its text, and the offending spans."""
@@ -137,9 +135,9 @@ class SentenceScorer:
         z = self.bias + np.bincount(pairs // len(first), weight[pairs % len(first)], len(sentences))
         part_ends = np.cumsum([len(part) + 1 for _, _, part in run])
         part = np.searchsorted(part_ends, starts[is_first], side="right")
-        np.subtract.at(clean, np.array([i for i, _, _ in run])[part], np.where(z > LEAST_SCORE, np.logaddexp(0.0, z), 0.0))
+        np.subtract.at(clean, np.array([i for i, _, _ in run])[part], np.logaddexp(0.0, z))
         p = 1 / (1 + np.exp(-z))
-        for k in np.flatnonzero((p >= at_least) & (z > LEAST_SCORE)):
+        for k in np.flatnonzero(p >= at_least):
             i, at, text = run[part[k]]
             begins = int(part_ends[part[k]]) - len(text) - 1
             mark = int(marks[sentences[k] - 1]) + 1 if sentences[k] else 0
@@ -177,6 +175,11 @@ def _codes(text: str) -> np.ndarray:
     return _tables()[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+def lowered(text: str) -> str:
+    """The text lower-cased code point by code point, so that it keeps its length."""
+    return _codes(text).tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def _numbers(codes: np.ndarray) -> np.ndarray:
     """Two numbers for each code point."""
     spread = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
@@ -231,7 +234,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [list({f for word in set(_WORD.findall(text.lower())) for f in word_features(word)}) for text in batch["text"]]
+            held = [list({f for word in set(_WORD.findall(lowered(text))) for f in word_features(word)}) for text in batch["text"]]
             yield pd.DataFrame({"feature": [f for fs in held for f in fs], "label": np.repeat(batch["label"].to_numpy(), [len(fs) for fs in held])})
 
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -244,7 +247,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
     chi_square = (clean + toxic) * cross * cross / (n * F.greatest(clean + toxic - n, F.lit(1)) * clean * toxic)
     chosen = (
         sample.mapInPandas(features, "feature string, label int").groupBy("feature").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
-        .select("feature", chi_square.alias("strength")).where(F.col("strength") >= min(MIN_CHI_SQUARE, OF_DOCUMENTS * (clean + toxic)))
+        .select("feature", chi_square.alias("strength")).where(F.col("strength") >= MIN_CHI_SQUARE * (clean + toxic) / (clean + toxic + FEW))
         .orderBy(F.desc("strength"), "feature").limit(max_features)
     )
     index = {r["feature"]: i for i, r in enumerate(chosen.collect())}
@@ -281,9 +284,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
 
 
 def toxicity(model: ToxicityModel, text: Column, at_least: float = 0.5) -> Column:
-    """Struct of the document's ``score`` and the ``spans`` (start, end, score) of its offending sentences.
+    """Struct of the document's ``score`` and the ``spans`` (start, end, score) of its offending sentences, those that score ``at_least`` or more.
 
-    Null and empty texts and texts without a word score 0 and have no spans.
+    Null and empty texts and texts without a word score 0 and have no spans.  Texts of any length are scored whole, in parts
+    cut after sentences; every sentence with a word adds its chance, however small.  The score depends on the text alone, so
+    repeated rows and ties score alike; an empty table gives no rows, and other columns are not read.
     """
 
     @F.pandas_udf(SCORE_TYPE)
