@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from passagework.operators.ordered import with_previous
 from passagework.operators.validation import duplicates, require_empty
 from passagework.operators.verify import first_seen, grounded
 
@@ -73,9 +74,9 @@ def chunk_report(chunks: DataFrame, tokens: str, target: int) -> DataFrame:
 
 
 def row_overlaps(rows: DataFrame, group: Sequence[str], order: Sequence[str], start: str, end: str, slack: float = ROW_SLACK) -> DataFrame:
-    """Rows that start more than ``slack`` before the row ahead of them ends, with that end as ``before``."""
-    before = F.lag(end).over(W.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("before", before).where(F.col(start) < F.col("before") - slack)
+    """Rows that start more than ``slack`` before the row ahead of them ends, with that end as ``before``; ``order`` tells a group's rows apart."""
+    seen = with_previous(rows, group, order, [end], "_ahead").withColumn("before", F.col("_ahead")[end])
+    return seen.drop("_ahead").where(F.col(start) < F.col("before") - slack)
 
 
 def vectors_by_id(vectors: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -24,21 +24,28 @@ from passagework.sources.updates import table_digest
 # Parameters of the score.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Version of the tables' layout; a build of another version is not read.
-INDEX_VERSION = 3
+INDEX_VERSION = 4
 #: Weighted query terms of up to so many rows (about 10 MB) are sent to the postings; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
+#: With so many different query terms at most, only their lists are read, and not the postings of all documents.
+FEW_TERMS = 1_000
 #: Documents that are tokenised and handed on at once.
 ROWS_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    """``postings`` (term, doc_id, tf, dl), ``lengths`` (doc_id, dl), ``terms`` (term, df, idf) and the one-row ``stats`` (n_docs, avgdl, average_idf, n_terms, max_dl)."""
+    """``postings`` (term, doc_id, tf, dl), ``lengths`` (doc_id, dl), ``terms`` (term, df, idf) and the one-row ``stats`` (n_docs, avgdl, average_idf, n_terms, max_dl).
+
+    In ``postings`` the rows of a document stand together, so that the scores of a batch of queries are summed before they are
+    shuffled; a published index has them sorted by term as well (``lists``), so that a few terms are found without a scan.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     stats: DataFrame
+    lists: DataFrame | None = None
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Bm25Index:
@@ -88,6 +95,8 @@ def corpus_build(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def publish_index(index: Bm25Index, root: str, build_id: str) -> None:
     """Write the index's tables as one build, with digests of their contents, and point ``root`` at it."""
     tables = {"postings": index.postings, "lengths": index.lengths, "terms": index.terms, "stats": index.stats}
+    # ranges of term and document, so that a frequent term's list lies in many files
+    tables["lists"] = index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
     publish_tables(tables, root, build_id, {"version": INDEX_VERSION, "digests": {name: table_digest(table) for name, table in tables.items()}})
 
 
@@ -101,7 +110,7 @@ def load_index(spark: SparkSession, root: str, build_id: str | None = None, *, v
     if verify:
         changed = [name for name, table in tables.items() if table_digest(table) != manifest["digests"][name]]
         require(not changed, f"the index is not what was published: {changed}")
-    index = Bm25Index(tables["postings"], tables["lengths"], tables["terms"], tables["stats"])
+    index = Bm25Index(tables["postings"], tables["lengths"], tables["terms"], tables["stats"], tables["lists"])
     stats = index.stats.collect()
     require(len(stats) == 1 and stats[0]["n_docs"] == manifest["rows"]["lengths"] and stats[0]["n_terms"] == manifest["rows"]["terms"], "the index and its statistics don't fit")
     return index
@@ -136,16 +145,21 @@ def query_terms(queries: DataFrame, *, id_col: str = "query_id", text_col: str =
 def search(index: Bm25Index, terms: DataFrame, k: int, *, eligible: DataFrame | None = None, decimals: int = 6) -> DataFrame:
     """``query_id, doc_id, score, rank`` of the best ``k`` documents that hold a query token.
 
-    ``eligible`` (``doc_id``) restricts what is returned, not the statistics, and is applied before scoring.  The
-    postings stay where they are, and their scores are summed before they are shuffled.  Scores are rounded before
+    ``eligible`` (``doc_id``) restricts what is returned, not the statistics, and is applied before scoring.  Of a published
+    index queries with few terms read only these terms' lists; else the postings stay where they are, and their scores
+    are summed before they are shuffled.  Scores are rounded before
     ranking, ties go to the smaller id, and scores that are not positive are kept.
     """
     if k < 1:
         raise ValueError("k must be positive")
-    weighted = save_scratch(terms.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "bm25-weighted")
+    weighted = weighted_terms = save_scratch(terms.join(index.terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "bm25-weighted")
     if weighted.count() <= BROADCAST_TERMS:
         weighted = F.broadcast(weighted)
     postings = index.postings
+    if index.lists is not None:
+        asked = [r["term"] for r in weighted_terms.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+        if len(asked) <= FEW_TERMS:
+            postings = index.lists.where(F.col("term").isin(asked))  # reaches the scan, whose row groups hold ranges of terms
     if eligible is not None:
         postings = postings.join(eligible.select("doc_id").distinct(), "doc_id", "left_semi")
     hits = postings.join(weighted, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))

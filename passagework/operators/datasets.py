@@ -14,6 +14,11 @@ from passagework.operators.sampling import strided_sample
 from passagework.operators.validation import question_violations, require, row_differences
 
 
+# The act of procedural questions, and how questions made from sections are named and worded.
+PROCEDURAL_ACT = "BNSS"
+MADE_ID, MADE_BEGIN, MADE_MIDDLE, MADE_END = "p34-02-direct-", "Which provision in the ingested ", " 2023 snapshot covers '", "'?"
+
+
 @dataclass(frozen=True)
 class Expectations:
     """What a benchmark must be like.
@@ -49,7 +54,7 @@ def rule_violations(questions: DataFrame, citations: DataFrame) -> DataFrame:
     is_made, candidate = F.col("provenance") == "corpus_section", F.col("provenance") == "generated_candidate"
     one_lookup = (F.col("category") == "direct_lookup") & (F.size("gold_citation_ids") == 1)
     rules: list[tuple[str, Column]] = [
-        ("procedural without its act", (F.col("category") == "procedural") & ~F.col("act").eqNullSafe(F.lit("BNSS"))),
+        ("procedural without its act", (F.col("category") == "procedural") & ~F.col("act").eqNullSafe(F.lit(PROCEDURAL_ACT))),
         ("cross-act with one act", (F.col("category") == "cross_act") & (F.col("act").isNotNull() | (F.coalesce("_acts", F.lit(0)) < 2))),
         ("not marked as a candidate", F.col("category").isin("cross_act", "scenario") & ~candidate),
         ("candidate without review", candidate & ~F.coalesce("needs_legal_review", F.lit(False))),
@@ -73,7 +78,7 @@ def regenerated(sections: DataFrame, *, seed: int, per_act: int, stride: int, ex
     title = F.rtrim(F.trim(F.regexp_replace("title", r"\s+", " ")), F.lit(". "))
     named = F.when(F.coalesce(title, F.lit("")) == "", F.raise_error(F.lit("a section has no title")).cast("string")).otherwise(title)
     return sections.join(picked, "citation_id").select(
-        F.concat(F.lit("p34-02-direct-"), "citation_id").alias("id"), F.concat(F.lit("Which provision in the ingested "), "act", F.lit(" 2023 snapshot covers '"), named, F.lit("'?")).alias("query"), "act",
+        F.concat(F.lit(MADE_ID), "citation_id").alias("id"), F.concat(F.lit(MADE_BEGIN), "act", F.lit(MADE_MIDDLE), named, F.lit(MADE_END)).alias("query"), "act",
         F.lit("direct_lookup").alias("category"), F.array("citation_id").alias("gold_citation_ids"), F.lit("corpus_section").alias("provenance"), "json_pointer", F.lit(False).alias("needs_legal_review"),
     )
 

@@ -104,17 +104,19 @@ def bounding_boxes(rows: DataFrame, group: Sequence[str], x0: str, y0: str, x1:
     return rows.groupBy(*group).agg(F.min(x0).alias("x0"), F.min(y0).alias("y0"), F.max(x1).alias("x1"), F.max(y1).alias("y1"))
 
 
-def descendants(edges: DataFrame, max_depth: int = 16) -> DataFrame:
-    """``ancestor, descendant, depth`` of a forest of ``parent, child`` edges.
+def descendants(edges: DataFrame) -> DataFrame:
+    """``ancestor, descendant, depth`` of a forest of ``parent, child`` edges, of any depth.
 
-    One join per level; each level is written, and a cycle shows as a tree that is deeper than ``max_depth``.
+    One join per level; each level is written.  A node that lies below itself is an error.
     """
     edges = edges.select("parent", "child")
     level = out = save_scratch(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth")), "tree")
-    for depth in range(2, max_depth + 2):
-        step = level.join(edges, level["descendant"] == edges["parent"]).select("ancestor", F.col("child").alias("descendant"), F.lit(depth).alias("depth"))
-        level = save_scratch(step, "tree")
-        if level.isEmpty():
+    while True:
+        n, cycle = level.agg(F.count(F.lit(1)), F.bool_or(F.col("ancestor") == F.col("descendant"))).first()
+        if cycle:
+            raise ValueError("the edges have a cycle")
+        if not n:
             return out
+        step = level.join(edges, level["descendant"] == edges["parent"]).select("ancestor", F.col("child").alias("descendant"), (F.col("depth") + 1).alias("depth"))
+        level = save_scratch(step, "tree")
         out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {max_depth} levels or has a cycle")

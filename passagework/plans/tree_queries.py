@@ -293,3 +293,18 @@ def updated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     building = read_table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     updates.update_where(spark, root, building, {"o_orderpriority": F.concat(F.lit("X-"), "o_orderpriority")})
     return updates.read_versioned(spark, root).select("o_orderkey", "o_orderpriority")
+
+
+@query(
+    "verified_chain",
+    """SELECT 'vectors' AS build, 'vectors' AS name, count(*) AS n FROM embeddings UNION ALL SELECT 'vectors', 'labels', count(DISTINCT label) FROM embeddings
+UNION ALL SELECT 'texts', 'texts', count(*) FROM documents""",
+)
+def verified_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and all vectors published as two builds, one made from the other, and what a check of the whole chain finds in them."""
+    root = f"{scratch_root(spark)}/chain-{uuid.uuid4().hex}"
+    vectors = read_table(spark, sf_dir, "embeddings")
+    updates.publish_chained({"texts": read_table(spark, sf_dir, "documents")}, f"{root}/texts", "texts")
+    updates.publish_chained({"vectors": vectors, "labels": vectors.select("label").distinct()}, f"{root}/vectors", "vectors", (f"{root}/texts", "texts"))
+    chain = updates.verified_chain(spark, f"{root}/vectors")
+    return spark.createDataFrame([(m["build_id"], name, int(d["rows"])) for m in chain for name, d in m["digests"].items()], "build string, name string, n long")
