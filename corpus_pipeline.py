@@ -83,7 +83,8 @@ KEY = "_document_key"
 
 STAGES = [("quality", quality), ("toxicity", clean), ("near_duplicates", distinct), ("packing", packed)]
 
-#: The classifiers and the packer can't be written in SQL; the tests hold every stage against a brute-force version.
+#: The classifiers and the packer can't be written in SQL.  The tests hold the operators of the stages against plain Python
+#: (marginals, fit and score of the classifiers, all pairs of texts, token ids) and the stages against their operators.
 ORACLE_SQL: str | None = None
 
 

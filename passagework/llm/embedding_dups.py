@@ -166,7 +166,8 @@ def embedding_duplicates(vectors: DataFrame, *, cosine: float = 0.98, fit_vector
     Vectors of one label and one length are linked if their cosine is at least ``cosine``.  ``n_links`` counts
     the other rows that a row is linked with, ``component_id`` is the smallest id reachable by links, and
     ``kept`` marks the row with that id.  A row that can't be linked (see ``unit_vectors``) stands alone; one
-    with a null id has no component and is kept.  Extra columns are ignored, and empty tables give empty results.
+    with a null id has no component and is kept.  Rows that repeat an id count as rows of their own among the links.  Pairs at
+    exactly ``cosine`` are linked.  Extra columns are ignored, and empty tables give empty results.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")

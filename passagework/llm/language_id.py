@@ -180,6 +180,8 @@ def predict_language(model: LanguageFilter, text: Column) -> Column:
     """Struct of ``lang`` and ``score``, the winner's corrected share of the n-grams, for whole texts.
 
     A null text and one without a letter is ``und`` with score 0.  A tie goes to the first language in order.
+    The result depends on the text alone, so repeated rows are alike; texts of any length are judged whole; an empty
+    table gives no rows, and other columns are not read, whatever their names.
     """
 
     @F.pandas_udf("lang string, score double")

@@ -213,7 +213,12 @@ def decode_pieces(model_file: str, ids: Column) -> Column:
 
 
 def encoded_and_decoded(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, decoded`` of each row, in one pass of small batches: what the two functions above give together."""
+    """``doc_id, ids, decoded`` of each row, in one pass of small batches: what the two functions above give together.
+
+    A null text is taken as empty; empty texts have no ids and an empty decoded text.  Texts of any length are encoded whole.
+    The result depends on the text alone, so repeated rows, equal and null ids included, have one each and are alike.  An
+    empty table gives no rows; extra columns are left out, whatever their names.  Ids that differ from the library's are an error.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

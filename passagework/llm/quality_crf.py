@@ -253,7 +253,12 @@ def blank_quality(docs: DataFrame, labels: DataFrame) -> float:
 
 
 def quality_score(model: LineCrf, text: Column) -> Column:
-    """Quality of whole texts; null, empty and blank texts get ``model.blank``."""
+    """Quality of whole texts, 0 to 1; null, empty and blank texts get ``model.blank``.
+
+    The score depends on the text alone: repeated rows score alike, and scores that tie with a limit are left to the caller.
+    Texts of any length are scored whole, in runs of about a million characters or one text.  An empty table gives no
+    rows, and other columns are not read, whatever their names.
+    """
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
