@@ -31,6 +31,8 @@ MIN_CHI_SQUARE, FEW = 20.0, 50.0
 #: Features that the fit takes at most, the strongest ones.
 MAX_FEATURES = 4000
 FIT_STEPS = 500
+#: Documents whose features are handed on at once.
+DOCS_AT_ONCE = 200
 PREFIXES = (4, 5)
 #: Characters of a text that are scored at once; a longer text is cut after a sentence.
 SEGMENT = 250_000
@@ -233,9 +235,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, held_out: int = 0, n_f
     sample = labelled_sample(docs, labels, "toxic", per_class=per_class, held_out=held_out, n_folds=n_folds)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            held = [list({f for word in set(_WORD.findall(lowered(text))) for f in word_features(word)}) for text in batch["text"]]
-            yield pd.DataFrame({"feature": [f for fs in held for f in fs], "label": np.repeat(batch["label"].to_numpy(), [len(fs) for fs in held])})
+        for whole in batches:
+            for start in range(0, len(whole), DOCS_AT_ONCE):
+                batch = whole.iloc[start : start + DOCS_AT_ONCE]
+                held = [list({f for word in set(_WORD.findall(lowered(text))) for f in word_features(word)}) for text in batch["text"]]
+                yield pd.DataFrame({"feature": [f for fs in held for f in fs], "label": np.repeat(batch["label"].to_numpy(), [len(fs) for fs in held])})
+        give_back()
 
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
