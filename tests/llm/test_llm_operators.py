@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -18,7 +19,7 @@ import public_tokenizers  # noqa: E402
 from passagework.llm import queries as Q  # noqa: E402
 from passagework.llm.components import connected_components, spanning_roots  # noqa: E402
 from passagework.llm.embedding_dups import ProductQuantiser, embedding_duplicates  # noqa: E402
-from passagework.llm.image_copies import _resized, agreeing_corners, describe, image_copies, media_from_embeddings, write_pgm  # noqa: E402
+from passagework.llm.image_copies import _resized, agreeing_corners, describe, image_copies, media_from_embeddings, packed, read_pgm, shared_keys, table_keys, unpacked, write_pgm  # noqa: E402
 from passagework.llm.language_id import LanguageFilter, predict_language, train_language_id  # noqa: E402
 from passagework.llm.near_duplicates import minhash, most_differing_bits, near_duplicates, odd_sketch, shingle_hashes  # noqa: E402
 from passagework.llm.packing import best_fit_patterns, exact_patterns, pack_documents, packed_sequences, plan_packing, token_pieces  # noqa: E402
@@ -28,6 +29,7 @@ from passagework.llm.sharding import SlotMap, load_slot_map, save_slot_map, shar
 from passagework.llm.toxicity_mil import ToxicityModel, score_text, toxicity, train_toxicity  # noqa: E402
 from passagework.llm.url_filter import UrlRule, filter_urls  # noqa: E402
 from passagework.llm.word_tokens import WordTokens  # noqa: E402
+from passagework.sources.scratch import scratch_root  # noqa: E402
 
 LONG = "lorem ipsum dolor sit amet " * 4000
 DOCS = "doc_id long, text string, lang string, Score double, `n` int, label int"
@@ -308,6 +310,35 @@ def test_image_copies_crops_of_large_images(spark):
     assert all(((places[:, 0] // 40 == i) & (places[:, 1] // 40 == j)).sum() >= 6 for i in range(1, 6) for j in range(1, 6))
 
 
+def test_image_keys_travel_packed(spark):
+    """Pairs counted from packed keys are those of all pairs of key sets, also where most buckets count as large."""
+    rng = np.random.default_rng(12)
+    for n, most in ((1, 2**40), (1000, 50), (1001, 2**12), (70_000, 2**32)):
+        values = np.sort(rng.integers(0, most, n).astype(np.uint64))
+        assert (unpacked(packed(values)) == values).all()
+    base = [rng.normal(size=24) for _ in range(30)]
+    near = [v + rng.normal(0, 0.03, 24) for v in base[:12] for _ in range(3)]
+    media = media_from_embeddings(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*base, *near])], "vec_id long, embedding array<double>")).cache()
+    root = f"{scratch_root(spark)}"
+    before = set(os.listdir(root))
+    want = {r.media_id: r.component_id for r in image_copies(media).collect()}
+    written = sum(os.path.getsize(os.path.join(d, f)) for x in set(os.listdir(root)) - before for d, _, names in os.walk(os.path.join(root, x)) for f in names if f.endswith(".parquet") and os.path.getsize(os.path.join(d, f)) > 10_000)
+    assert written < 20_000 * len(want)  # corners once; neither keys nor pairs as rows
+    assert len(set(want.values())) < len(want) - 12
+    assert {r.media_id: r.component_id for r in image_copies(media, all_pairs=2).collect()} == want
+    rows = sorted(media.collect(), key=lambda r: r.media_id)
+    numbered = spark.createDataFrame([(k, r.image) for k, r in enumerate(rows)], "number long, image binary")
+    keys = [set((table_keys(*describe(read_pgm(bytes(r.image)))).view(np.uint64) >> np.uint64(32)).tolist()) for r in rows]
+    members = collections.Counter(k for x in keys for k in x)
+    for all_pairs in (1024, 2):
+        small = [{k for k in x if members[k] <= all_pairs} for x in keys]
+        pairs = {(a, b): len(small[a] & small[b]) for a in range(len(rows)) for b in range(a + 1, len(rows))}
+        for least in (3, 1):
+            got = shared_keys(numbered, len(rows), 20_000_000, least, all_pairs).collect()
+            assert {(r.a, r.b): min(r.n, 3) for r in got if r.key < 0} == {p: min(n, 3) for p, n in pairs.items() if n >= least}
+            assert {(r.key, r.a) for r in got if r.key >= 0} == {(k, a) for a, x in enumerate(keys) for k in x if members[k] > all_pairs}
+
+
 # --- 6 near-duplicates
 
 
