@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,19 +11,29 @@ from pyspark.sql import Window as W
 
 from passagework.operators.ordered import dealt, running
 from passagework.operators.provisions import runs_from_first
+from passagework.operators.structure import as_of
 
-#: Pages that all layouts together may name; so many rows are sent to every task.
-MOST_PAGES = 100_000
 #: A word this far left of a column's start still belongs to it, and a row begins this much lower than the one before.
 SLACK, DROP = 1.7, 2.0
 
 
 def layout_table(spark: SparkSession, layouts: Sequence[tuple[int, int, Sequence[float]]]) -> DataFrame:
-    """``page, starts`` of layouts ``(first page, last page, column starts)``; later ones replace earlier ones on their pages."""
-    pages = {page: [float(s) for s in sorted(starts)] for first, last, starts in layouts for page in range(first, last + 1)}
-    if len(pages) > MOST_PAGES:
-        raise ValueError(f"the layouts name more than {MOST_PAGES} pages")
-    return spark.createDataFrame(list(pages.items()), "page int, starts array<double>")
+    """``page, last, starts`` of layouts ``(first page, last page, column starts)``; later ones replace earlier ones on their pages.
+
+    A row is a range of pages, from ``page`` to ``last``, and ranges share no page, so a layout of any number of pages is few rows.
+    """
+    opens = sorted((first, i) for i, (first, last, _) in enumerate(layouts) if first <= last)
+    edges = sorted({edge for first, last, _ in layouts if first <= last for edge in (first, last + 1)})
+    ranges, held, n = [], [], 0
+    for page, end in zip(edges, edges[1:], strict=False):
+        while n < len(opens) and opens[n][0] <= page:
+            heapq.heappush(held, -opens[n][1])
+            n += 1
+        while held and layouts[-held[0]][1] < page:
+            heapq.heappop(held)
+        if held:
+            ranges.append((page, end - 1, [float(s) for s in sorted(layouts[-held[0]][2])]))
+    return spark.createDataFrame(ranges, "page int, last int, starts array<double>")
 
 
 def column_of(x: Column, starts: Column, slack: float = SLACK) -> Column:
@@ -30,8 +41,14 @@ def column_of(x: Column, starts: Column, slack: float = SLACK) -> Column:
     return F.greatest(F.lit(0), F.size(F.filter(starts, lambda s: s - slack <= x)) - 1)
 
 
+def page_starts(words: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``page, starts`` of the pages of ``words`` that a range of ``layouts`` holds: the last one that begins at or before the page, unless it ends before."""
+    pages = words.where("page IS NOT NULL").select("page").distinct()
+    return as_of(pages, layouts, [], "page", ["last", "starts"]).where("page <= last").select("page", "starts")
+
+
 def page_rows(words: DataFrame, layouts: DataFrame, table: Sequence[str] = (), *, slack: float = SLACK, drop: float = DROP) -> DataFrame:
-    """``table`` columns, ``page, row, cells`` of words (``table`` columns, ``page, line, seq, x, y, text``), with as many cells as the page's layout has columns.
+    """``table`` columns, ``page, row, cells`` of words (``table`` columns, ``page, line, seq, x, y, text``), with as many cells as the page's layout (see ``layout_table``) has columns.
 
     ``line`` and ``seq`` order the words of a page.  Words of one line and column are joined by a space, the lines of a
     cell by a line feed.  A row begins where the words come back to one of the first two columns from a later one,
@@ -39,7 +56,7 @@ def page_rows(words: DataFrame, layouts: DataFrame, table: Sequence[str] = (), *
     A page without a layout is an error.  Rows are found in one Arrow batch for each page; a page is as large as paper.
     """
     key = [*table, "page"]
-    laid = words.join(F.broadcast(layouts.withColumnRenamed("page", "_page")), F.col("page") == F.col("_page"), "left").drop("_page")
+    laid = words.join(page_starts(words, layouts).withColumnRenamed("page", "_page"), F.col("page") == F.col("_page"), "left").drop("_page")
     starts = F.when(F.col("starts").isNull(), F.raise_error(F.concat(F.lit("no layout for page "), F.col("page").cast("string"))).cast("array<double>")).otherwise(F.col("starts"))
     placed = laid.withColumn("starts", starts).withColumn("column", column_of(F.col("x"), F.col("starts"), slack))
     own = W.partitionBy(*key).orderBy("line", "seq")

@@ -181,8 +181,8 @@ def users_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- tables over pages and regions --------------------------------------------------------------------------------
 
-#: Lines of a page, and two layouts: of the first ten pages, and of the others.
-PAGE_LINES, LAYOUT_PAGES = 15, 10
+#: Lines of a page, and two layouts: of the first ten pages, and of all others up to the last number a page can have.
+PAGE_LINES, LAYOUT_PAGES, LAST_PAGE = 15, 10, 2**31 - 1
 LAYOUTS = ((72.0, 120.0, 300.0), (80.0, 150.0, 260.0))
 
 
@@ -209,8 +209,7 @@ def table_over_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     page, on_page = F.floor(line / PAGE_LINES).cast("int"), line % PAGE_LINES
     starts = F.when(page < LAYOUT_PAGES, F.array(*map(F.lit, LAYOUTS[0]))).otherwise(F.array(*map(F.lit, LAYOUTS[1])))
     placed = each.select(page.alias("page"), (on_page * 2 + (F.col("w.seq") == 2).cast("int") * F.col("w.add")).alias("line"), "w.seq", (F.get(starts, "w.column") + F.col("w.seq") * 0.5).alias("x"), (F.lit(80.0) + on_page * 12 + (F.col("w.seq") == 2).cast("int") * F.col("w.add") * 6).alias("y"), "w.text")
-    last = placed.agg(F.max("page")).first()[0] or 0
-    layouts = page_tables.layout_table(spark, [(0, LAYOUT_PAGES - 1, LAYOUTS[0]), (LAYOUT_PAGES, max(last, LAYOUT_PAGES), LAYOUTS[1])])
+    layouts = page_tables.layout_table(spark, [(0, LAYOUT_PAGES - 1, LAYOUTS[0]), (LAYOUT_PAGES, LAST_PAGE, LAYOUTS[1])])
     rows = page_tables.joined_rows(page_tables.page_rows(placed, layouts))
     return rows.select("row", "page", F.col("cells")[0].alias("key"), F.col("cells")[1].alias("name"), F.col("cells")[2].alias("market"))
 

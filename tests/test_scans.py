@@ -135,6 +135,20 @@ def test_table_uses_glyph_columns(spark):
         page_tables.page_rows(spark.createDataFrame([(9, 0, 0, 1.0, 1.0, "x")], WORDS), layouts).collect()
 
 
+def test_layouts_are_ranges_of_any_number_of_pages(spark, many_parts):
+    layouts = page_tables.layout_table(spark, [(0, 9, [72, 220]), (10, 2**31 - 1, [90, 240, 400]), (8, 11, [60]), (200_000, 200_000, [50, 30]), (7, 6, [1])])
+    held = [(r["page"], r["last"], r["starts"]) for r in layouts.orderBy("page").collect()]
+    assert held == [(0, 7, [72, 220]), (8, 9, [60]), (10, 11, [60]), (12, 199_999, [90, 240, 400]), (200_000, 200_000, [30, 50]), (200_001, 2**31 - 1, [90, 240, 400])]
+    pages = {0: 2, 7: 2, 9: 1, 11: 1, 12: 3, 150_000: 3, 200_000: 2, 2**31 - 1: 3}
+    words = spark.createDataFrame([(page, 0, 0, 100.0, 10.0, "x") for page in pages], WORDS)
+    assert {r["page"]: len(r["cells"]) for r in page_tables.page_rows(words, layouts).collect()} == pages
+    short = page_tables.layout_table(spark, [(1, 3, [72]), (6, 7, [72])])
+    assert [r["page"] for r in page_tables.page_starts(spark.range(10).select(F.col("id").cast("int").alias("page")), short).orderBy("page").collect()] == [1, 2, 3, 6, 7]
+    with pytest.raises(Exception, match="no layout for page 9"):
+        page_tables.page_rows(words.where("page IN (7, 9)"), short).collect()
+    assert page_tables.layout_table(spark, []).count() == 0
+
+
 def test_region_predicates(spark):
     spans = "array<struct<text:string,size:double>>"
     lines = spark.createDataFrame([(1, 1, 700.0, [("12345678", 8.0), ("9", 12.0)]), (2, 1, 700.0, [("1234567", 8.0), ("89", 12.0)]), (3, 1, 600.0, [("all", 8.0)]), (4, 2, 700.0, [("all", 8.0)]), (5, 1, 700.0, []), (6, 1, 700.0, None)], f"id int, page int, y double, spans {spans}")
