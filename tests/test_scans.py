@@ -1,12 +1,15 @@
 """Scans with a state, nearest rows, glyphs, positions and tables over pages."""
 
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework.operators import glyphs, nearest, page_tables, positions, scans
+from passagework.sources.scratch import scratch_root
 
 
 @pytest.fixture
@@ -108,6 +111,61 @@ def test_words_from_glyphs(spark, many_parts):
     assert glyphs.glyph_words(df.where("false"), ["page"]).count() == 0
 
 
+def plain_words(glyphs, tolerance=2.0, gap=0.3):
+    """``page, y, word_no, x, right, text`` by plain Python."""
+    out, line_of = [], {}
+    for page in {g[0] for g in glyphs}:
+        base = None
+        for g in sorted((g for g in glyphs if g[0] == page), key=lambda g: (g[5], g[1])):
+            base = g[5] if base is None or g[5] >= base + tolerance else base
+            line_of.setdefault((page, base), []).append(g)
+    for (page, y), line in line_of.items():
+        words, before = [], None
+        for g in sorted(line, key=lambda g: (g[3], g[1])):
+            if g[2].strip():
+                if before is None or not words or not before[2].strip() or g[3] > before[3] + before[4] * (1 + gap):
+                    words.append([])
+                words[-1].append(g)
+            before = g
+        out += [(page, y, n, w[0][3], max(g[3] + g[4] for g in w), "".join(g[2] for g in w)) for n, w in enumerate(words, 1)]
+    return sorted(out, key=lambda w: (w[0] is not None, w))
+
+
+def random_glyphs(pages, n, seed):
+    rng = random.Random(seed)
+    rows = [(page, 3 * i - 50, rng.choice("abç😀   "), float(rng.randrange(300)) / 4 - 9, rng.choice([0.5, 1.0, 1.25]), rng.randrange(40) / 3 - 2) for page in pages for i in range(n)]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("most", [1_000_000, 100, 5])
+def test_words_of_whole_and_of_spread_pages(spark, many_parts, monkeypatch, most):
+    monkeypatch.setattr(glyphs, "PAGE_GLYPHS", most)
+    monkeypatch.setattr(glyphs, "GLYPHS_AT_ONCE", 150)
+    rows = [*random_glyphs(["a", "", None], 90, 1), *random_glyphs(["hot"], 400, 2)]
+    df = spark.createDataFrame(rows, "page string, seq int, c string, x double, width double, y double").repartition(5)
+    got = sorted((tuple(r[c] for c in ("page", "y", "word_no", "x", "right", "text")) for r in glyphs.glyph_words(df, ["page"]).collect()), key=lambda w: (w[0] is not None, w))
+    assert got == plain_words(rows) and None in {w[0] for w in got}
+
+
+def test_glyphs_travel_packed(spark):
+    """A glyph takes about a byte on the way, and none is written; glyphs without a place go with the spread pages."""
+    lines = spark.range(300).select(F.col("id").alias("page"), F.posexplode(F.split(F.concat_ws(" ", *(F.sha2((F.col("id") * 5 + k).cast("string"), 256) for k in range(5))), "")).alias("i", "c"))
+    df = lines.select("page", F.col("i").alias("seq"), "c", (F.col("i") * 5.0).alias("x"), F.lit(5.0).alias("width"), (F.col("i") % 3 * 0.4).alias("y"))
+    before = set(os.listdir(scratch_root(spark)))
+    got = glyphs.glyph_words(df, ["page"])
+    assert got.count() == 1500 and got.where("length(text) <> 64 OR y <> 0 OR right <> x + 320").isEmpty()
+    written = [os.path.join(d, f) for x in set(os.listdir(scratch_root(spark))) - before for d, _, names in os.walk(os.path.join(scratch_root(spark), x)) for f in names if f.endswith(".parquet")]
+    assert sum(map(os.path.getsize, written)) < 20_000
+    words = np.array([range(324), *([k * 5.0 for k in range(324)] for _ in range(3))])
+    numbers = np.concatenate([words[:1].astype(np.uint64), words[1:].view(np.uint64)])
+    text = np.frombuffer(b"0123456789abcdef" * 20 + b"ghij", np.uint8)
+    data = glyphs.packed_glyphs(numbers, np.arange(324) % 65 == 64, np.ones(324, np.int64), text)
+    assert len(data) < 324 and all((x == y).all() for x, y in zip(glyphs.unpacked_glyphs(data), (numbers, np.arange(324) % 65 == 64, np.ones(324), text), strict=True))
+    odd = df.where("page < 2").withColumn("x", F.when((F.col("page") == 1) & (F.col("seq") == 7), None).otherwise(F.col("x")))
+    assert glyphs.glyph_words(odd, ["page"]).groupBy("page").agg(F.min("text")).count() == 2
+
+
 def test_zip_by_position(spark, many_parts):
     left = spark.createDataFrame([(i * 7 % 101, f"l{i}") for i in range(100)], "k int, a string")
     right = spark.createDataFrame([(i, f"r{i}") for i in range(100)], "o int, b string")
