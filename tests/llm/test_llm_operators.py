@@ -16,6 +16,7 @@ pytest.importorskip("passagework.llm")
 
 import public_tokenizers  # noqa: E402
 
+from passagework.llm import image_copies as image_copies_module  # noqa: E402
 from passagework.llm import queries as Q  # noqa: E402
 from passagework.llm.components import connected_components, spanning_roots  # noqa: E402
 from passagework.llm.embedding_dups import ProductQuantiser, embedding_duplicates  # noqa: E402
@@ -271,6 +272,37 @@ def test_image_descriptors_follow_turns():
     assert len(describe(np.zeros((5, 5)))[0]) == len(describe(np.zeros((60, 60)))[0]) == 0 and write_pgm(np.zeros((2, 3))).startswith(b"P5 3 2 255\n")
 
 
+def test_closest_descriptors_both_ways(monkeypatch):
+    """Against plain comparisons of all bits, with ties, opposite descriptors, and in several pieces."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (40, 256), np.uint8)
+    a = np.concatenate([base, base[:10], 1 - base[:3]])
+    b = np.concatenate([base[5:] ^ (rng.random((35, 256)) < 0.12), 1 - base[:2], base[:8], base[:8]]).astype(np.uint8)
+    far = (a[None] != b[:, None]).sum(2)
+    want = [(int(far[i].argmin()), i) for i in range(len(b)) if far[i].min() <= image_copies_module.MOST_DIFFERING and far[:, far[i].argmin()].argmin() == i]
+    words = [np.packbits(x, axis=1).view(np.uint64) for x in (a, b)]
+    for at_once in (1024, 20):
+        monkeypatch.setattr(image_copies_module, "CORNERS_AT_ONCE", at_once)
+        got = image_copies_module._closest_both_ways(*words)
+        assert list(zip(*(x.tolist() for x in got), strict=True)) == want and 20 < len(want) < len(b)
+    one = np.zeros((1, 4), np.uint64)
+    assert [x.tolist() for x in image_copies_module._closest_both_ways(one, ~one)] == [[], []]
+
+
+def test_agreeing_corners_need_one_turn():
+    """Ten matches on one shift agree, and none do where each has a turn of its own."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(0, 2**63, (10, 4)).astype(np.uint64)
+    places = np.stack([*rng.uniform(10, 60, (2, 10)), np.ones(10), rng.uniform(-3.1, 3.1, 10)], 1)
+    moved = places + [7.0, -5.0, 0.0, 0.0]
+    assert agreeing_corners(places, bits, moved, bits) == 10
+    turned = moved.copy()
+    turned[:, 3] += np.arange(10) * 2 * np.pi / 10
+    assert agreeing_corners(places, bits, turned, bits) == 0
+    wrapped = moved + np.array([0, 0, 0, 2 * np.pi]) * (np.arange(10) % 3 - 1)[:, None]
+    assert agreeing_corners(places, bits, wrapped, bits) == 10
+
+
 def _drawn_field(rng, cells, side):
     """A smooth random image."""
     at = np.linspace(0, cells - 1.001, side)
